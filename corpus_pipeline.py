@@ -1,23 +1,59 @@
-"""A corpus-cleaning pipeline: each stage is one training-data operator whose decisions take effect."""
+"""A corpus-cleaning pipeline: each stage is one training-data operator whose decisions take effect.
+
+Every function takes (spark, docs, sf_dir), works on all of ``docs``, and returns a DataFrame; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfind.llm import bpe, queries
+from lumenfind.llm import bpe, decontaminate, near_dup, quality, queries, secrets
+from lumenfind.llm.store import Scratch
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on this input and its labels, rejects go."""
+    return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the document with the least id stays."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; all documents stay, and n_chars counts the new text."""
+    return secrets.redact_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left; the last stage."""
+    """Token ids of every document that is left."""
     return bpe.encode_documents(docs, queries.VOCABULARY)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("secret redaction", redact_secrets),
+    ("bpe encoding", encode),
+]
+#: Neither a fitted model nor sketches nor BPE can be written in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each result is written to the shared folder and read by the next stage."""
+    scratch = Scratch(spark, "pipeline")
+    docs = queries.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.keep(docs, f"stage-{k}")
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding
+from . import bpe, decontaminate, near_dup, quality, secrets, sharding
 
 #: A rank file of a public byte-level vocabulary; every executor must see it at this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -15,16 +15,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, APPENDED)
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op10_sharding": op10_sharding}
+QUERIES = {f.__name__: f for f in (op2_near_dup, op3_bpe, op4_quality, op5_decontaminate, op9_secrets, op10_sharding)}
 
 _JUMP = """
 {name}(doc_id, key, b, j) AS (

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dup, quality, secrets, sharding
+from . import bpe, decontaminate, license_scan, near_dup, quality, secrets, sharding, token_counts, topk
 
 #: A rank file of a public byte-level vocabulary; every executor must see it at this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+NEIGHBOURS = 10
 SHARDS, APPENDED = 1000, 24
 
 
@@ -31,6 +33,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_document_tokens(table(spark, sf_dir, "documents"), VOCABULARY, END_OF_DOCUMENT)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_neighbours(table(spark, sf_dir, "embeddings"), NEIGHBOURS)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, APPENDED)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op3_bpe, op4_quality, op5_decontaminate, op9_secrets, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_near_dup, op3_bpe, op4_quality, op5_decontaminate, op6_token_counts, op7_licenses, op8_topk, op9_secrets, op10_sharding)}
 
 _JUMP = """
 {name}(doc_id, key, b, j) AS (
@@ -51,6 +65,11 @@ _JUMP = """
 )"""
 
 ORACLE_SQL = {
+    "op8_topk": f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour_id)::INTEGER AS rank FROM d)
+SELECT vec_id, rank, neighbour_id, round(d, 5) AS distance FROM r WHERE rank <= {NEIGHBOURS}""",
     "op10_sharding": f"""
 WITH RECURSIVE keys AS (
   SELECT doc_id, ('0x' || substr(md5(length(doc_id::VARCHAR) || ':' || doc_id::VARCHAR), 1, 16))::UBIGINT AS key FROM documents

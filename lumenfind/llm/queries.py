@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, near_dup, quality, secrets, sharding, token_counts, topk
+from . import bpe, decontaminate, license_scan, near_dup, quality, secrets, sharding, token_counts, topk, warc
 
 #: A rank file of a public byte-level vocabulary; every executor must see it at this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -17,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested rows; structs as JSON, so that any engine's rows can be held against them."""
+    captures = warc.assemble(warc.pages_to_records(table(spark, sf_dir, "pages")))
+    nested = [F.to_json(c).alias(c) for c in ("response", "requests", "metadata", "others")]
+    return captures.select("capture_id", "target_uri", "n_records", *nested)
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, APPENDED)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op3_bpe, op4_quality, op5_decontaminate, op6_token_counts, op7_licenses, op8_topk, op9_secrets, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_near_dup, op3_bpe, op4_quality, op5_decontaminate, op6_token_counts, op7_licenses, op8_topk, op9_secrets, op10_sharding)}
 
 _JUMP = """
 {name}(doc_id, key, b, j) AS (
@@ -65,6 +73,15 @@ _JUMP = """
 )"""
 
 ORACLE_SQL = {
+    "op1_warc": """
+WITH p AS (SELECT *, 'urn:md5:' || md5('response|' || page_id || '|' || url) AS a, 'urn:md5:' || md5('request|' || page_id || '|' || url) AS b,
+  'urn:md5:' || md5('metadata|' || page_id || '|' || url) AS c FROM pages)
+SELECT a AS capture_id, url AS target_uri, 3::INTEGER AS n_records,
+  to_json({'record_id': a, 'record_type': 'response', 'target_uri': url, 'payload': html})::VARCHAR AS response,
+  to_json([{'record_id': b, 'record_type': 'request', 'target_uri': url, 'payload': 'GET ' || url || ' HTTP/1.1'}])::VARCHAR AS requests,
+  to_json([{'record_id': c, 'record_type': 'metadata', 'target_uri': url, 'payload': 'page-id: ' || page_id || '; length: ' || length(html)}])::VARCHAR AS metadata,
+  '[]' AS others
+FROM p""",
     "op8_topk": f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),

@@ -314,7 +314,8 @@ tot AS (SELECT coalesce(sum(w), 0) AS s, count(*)::INTEGER AS n FROM op)"""
 
 
 def _rank_sql(post: str, words: list[tuple[str, list[str]]], filters: tuple[str, ...] = (), ratio: float = 1.0, select: str = "SELECT doc_id, step FROM ranked") -> str:
-    passing = "".join(f" AND doc_id IN (SELECT doc_id FROM post WHERE {f})" for f in filters)
+    # A filter on an unknown term is left out of account.
+    passing = "".join(f" AND (NOT EXISTS (SELECT 1 FROM post WHERE {f}) OR doc_id IN (SELECT doc_id FROM post WHERE {f}))" for f in filters)
     return f"""WITH {_base(post, ratio)}, {_ops(words)},
 c AS (SELECT unnest(range(1, (1::BIGINT << n))) AS c FROM tot),
 cut AS (SELECT min(c) AS cut FROM (SELECT c, coalesce(sum(w), 0) AS a FROM c LEFT JOIN op ON (c.c >> op.bit) & 1 = 0 GROUP BY c), tot WHERE a < 0.01 * s),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .store import Scratch
+from .store import Scratch, unused
 
 #: Benchmark seeds up to this many bytes are also sent to the tasks, to filter before the join.
 SENT_BYTES = 64 << 20
@@ -177,5 +177,6 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents in which :func:`find_leaks` finds an item; rows without an id stay."""
-    leaks = find_leaks(docs, bench, **params).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaks, F.col(params.get("doc_id", "doc_id")) == F.col("__leaked"), "left_anti")
+    leaked = unused(docs, "leaked")
+    leaks = find_leaks(docs, bench, **params).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(leaks, F.col(params.get("doc_id", "doc_id")) == F.col(leaked), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .store import Scratch, connected_components
+from .store import Scratch, connected_components, unused
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +169,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """``docs`` with one document of each group of :func:`near_duplicates`, that of the least id; of rows that repeat
-    an id one stays. Documents in no group, and rows without an id, stay as they are."""
+    an id the one of least text stays. Documents in no group, and rows without an id, stay as they are.
+
+    Ids alone are looked through for repeats, so that texts are shuffled only where there are some."""
     groups = near_duplicates(docs, doc_id=doc_id, text=text, **params)
-    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    row = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
-    return kept.withColumn("__row", row).where((F.col("__row") == 1) | F.col(doc_id).isNull()).drop("__row")
+    gone, twice, row = (unused(docs, n) for n in ("gone", "twice", "row"))
+    kept = docs.join(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct(), F.col(doc_id) == F.col(gone), "left_anti")
+    repeated = docs.groupBy(F.col(doc_id).alias(twice)).agg(F.count("*").alias(f"{twice}_n")).where(F.col(f"{twice}_n") > 1).select(twice)
+    once = kept.join(repeated, F.col(doc_id) == F.col(twice), "left_anti")
+    again = kept.join(repeated, F.col(doc_id) == F.col(twice), "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())))
+    return once.union(again.where(F.col(row) == 1).drop(row))

@@ -41,6 +41,8 @@ for _b in range(256):
 _N = len(_NAMES)
 #: Numbers per document: byte classes and those of whole words.
 N_FEATURES = _N + 6
+#: Words at which a text's standard scores count half.
+SHRINK = 16
 
 
 def features(col: pa.Array) -> np.ndarray:
@@ -90,7 +92,9 @@ class Model:
 
 
 def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -8, 8)
+    """Standard scores and a constant. Shares of few words vary much by chance, so those of short texts shrink towards the mean."""
+    words = np.expm1(x[:, _N : _N + 1])
+    z = np.clip((x - mean) / scale, -8, 8) * (words / (words + SHRINK))
     return np.concatenate([z, np.ones((len(x), 1))], 1)
 
 
@@ -153,12 +157,12 @@ def featurize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, x binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", prior_steps: int = 12, steps: int = 24) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", prior_steps: int = 12, steps: int = 24) -> tuple[Model | None, DataFrame]:
     """The model, and the table ``(doc_id, x, positive)`` of features that it was fitted on.
 
     All documents are unlabelled data and all whose labels (one or several) all say 1 are trusted
     positives; no row is sampled. Null texts and texts without words are left out, as are labels with a
-    null id or value. Without any positive there is nothing to learn from: ValueError.
+    null id or value. Without any positive there is nothing to learn from, and no model.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     good = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(label) == 1).alias("positive"))
@@ -173,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     s = _sums(table, 2 + 2 * d, moments)
     n_u, n_p = s[0], s[1]
     if not n_p:
-        raise ValueError("no document is labelled as a trusted positive")
+        return None, table
     mean = s[2 : 2 + d] / n_u
     scale = np.sqrt(np.maximum(s[2 + d :] / n_u - mean**2, 0)) + 0.1
     w = np.zeros(d + 1)
@@ -224,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """``(doc_id, score, keep)`` of every row; ``keep`` is score >= 0.
 
-    Null, empty and wordless texts score null and aren't kept. Very long texts are read whole; repeated rows
+    Without any trusted positive nothing can be judged: every score is null and every row is kept. Null, empty and wordless texts score null and aren't kept. Very long texts are read whole; repeated rows
     get equal scores; of columns other than the two named none is read. An empty table gives an empty
     result without labels being looked at.
     """
@@ -232,6 +236,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         kind = dict(docs.select(doc_id).dtypes)[doc_id]
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, score double, keep boolean")
     model, table = fit(docs, labels, doc_id, text, **params)
+    if model is None:
+        return table.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,10 +251,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the fitted model keeps. Rows are judged where they
-    are: no join back by id, no shuffle of texts."""
+    are: no join back by id, no shuffle of texts. Null, empty and wordless texts go; without any trusted positive, or any row, all stays."""
     if docs.isEmpty():
         return docs
     model, _ = fit(docs, labels, doc_id, text, **params)
+    if model is None:
+        return docs
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

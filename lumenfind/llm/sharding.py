@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import unused
+
 
 def jump_buckets(keys: np.ndarray, n_shards: int) -> np.ndarray:
     """The shard of each 64-bit key; about ln(n_shards) vectorised steps, no memory that grows with it."""
@@ -61,7 +63,7 @@ def assign_shards(df: DataFrame, key_columns: list[str], n_shards: int, appended
     other (and differ from each other); a very long key costs one pass of MD5. An empty table gives
     an empty one. Other columns stay; columns named as an output are replaced.
     """
-    key = "__jump_key"
+    key = unused(df, "jump_key")
     out = df.withColumn(key, stable_key(*key_columns)).withColumn(prefix, shard_of(F.col(key), n_shards))
     if appended:
         out = out.withColumn(f"{prefix}_after", shard_of(F.col(key), n_shards + appended))

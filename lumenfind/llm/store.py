@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column already (Spark doesn't tell case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own."""
 

@@ -127,10 +127,10 @@ def kgrams(hashes: np.ndarray, first: np.ndarray, k: int, whole: bool = False) -
     count = np.maximum(rows - k + 1, 0)
     if whole and (short := np.flatnonzero((rows > 0) & (rows < k))).size:
         for r in short:
-            x = U(0)
-            for h in hashes[first[r] : first[r + 1]]:
-                x = (x * U(_Q) + h) & U(_M)
-            out[first[r]] = mix(np.array([x + U(rows[r])], U))[0]
+            x = 0
+            for h in hashes[first[r] : first[r + 1]].tolist():
+                x = x * _Q + h & _M
+            out[first[r]] = mix(np.array([x + int(rows[r]) & _M], U))[0]
             keep[first[r]] = True
         count[short] = 1
     return out[keep], np.concatenate([[0], np.cumsum(count)])

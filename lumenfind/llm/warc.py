@@ -57,14 +57,16 @@ def assemble(records: DataFrame) -> DataFrame:
     ids = named.select("record_id", kind.isin(*RESPONSES).alias("is_response")).distinct()
     rooted = ids.join(roots.select(F.col("node").alias("record_id"), "root"), "record_id", "left").withColumn("root", F.coalesce("root", "record_id"))
     least = F.coalesce(F.min(F.when(F.col("is_response"), F.col("record_id"))), F.min("record_id")).alias("capture_id")
-    captures = s.keep(rooted.select("record_id", "root").distinct().join(rooted.groupBy("root").agg(least), "root").select("record_id", "capture_id"), "captures")
+    captures = s.keep(rooted.select("record_id", "root").distinct().join(rooted.groupBy("root").agg(least), "root").select("record_id", "capture_id", (F.col("record_id") == F.col("capture_id")).alias("names_it")), "captures")
 
     row = F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("record_type").asc_nulls_last(), "target_uri", "payload"))
     once = named.select(*FIELDS).withColumn("__row", row).where("__row = 1").drop("__row")
+    # Whether a record names its capture is read as a flag: as an equality it would become a key of the join, and
+    # payloads would be shuffled again. So all of them move once, to their record ids, and responses stay there.
     placed = once.join(captures, "record_id")
     record = F.struct(*FIELDS)
-    main = placed.where((F.col("record_id") == F.col("capture_id")) & kind.isin(*RESPONSES)).select(F.col("record_id").alias("id"), record.alias("response"))
-    rest = placed.where((F.col("record_id") != F.col("capture_id")) | ~kind.isin(*RESPONSES))
+    main = placed.where(F.col("names_it") & kind.isin(*RESPONSES)).select(F.col("record_id").alias("id"), record.alias("response"))
+    rest = placed.where(~F.col("names_it") | ~kind.isin(*RESPONSES))
     listed = rest.groupBy("capture_id").agg(F.sort_array(F.collect_list(record)).alias("records"))
     both = main.join(listed, F.col("id") == F.col("capture_id"), "full_outer")
     records_ = F.coalesce("records", F.array().cast(listed.schema["records"].dataType))

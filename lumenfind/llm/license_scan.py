@@ -69,7 +69,8 @@ def find_licenses(docs: DataFrame, known: DataFrame, k: int = 3, gap: int = 3, s
 
     Null ids are kept as null ids are no key: such rows, and null or empty texts, have no result. Templates of
     fewer than k words, or null, match nothing. Repeated rows (the same id and text) give one result; each
-    copy within a text gives one. Of templates that match overlapping words the most similar is reported, or all that tie.
+    copy within a text gives one. Of templates that match overlapping words the one of most words in common is
+    reported, of these the most similar, or all that tie: so a whole license goes before the line that it begins with.
     Very long texts are taken whole. Empty tables give an empty result; other columns are never read.
     """
     spark = docs.sparkSession
@@ -128,18 +129,19 @@ def find_licenses(docs: DataFrame, known: DataFrame, k: int = 3, gap: int = 3, s
         for batch in batches:
             rows = []
             for d, lic, first, words, template, n in zip(*(c.to_pylist() for c in batch.columns)):
-                same = common_subsequence(template, words) / len(template)
-                if same >= similarity - 1e-9:
+                same = common_subsequence(template, words)
+                if same >= similarity * len(template) - 1e-9:
                     # the span proper: without words before and after that the template doesn't have
                     have = set(template)
                     hits = [i for i, x in enumerate(words) if x in have]
-                    rows.append((d, lic, first + hits[0], hits[-1] - hits[0] + 1, n, round(same, 6)))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["doc_id", "license", "first_word", "n_words", "votes", "similarity"])
+                    rows.append((d, lic, first + hits[0], hits[-1] - hits[0] + 1, n, round(same / len(template), 6), same))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["doc_id", "license", "first_word", "n_words", "votes", "similarity", "same"])
 
-    spans = s.keep(pairs.mapInArrow(verify, "doc_id long, license string, first_word int, n_words int, votes int, similarity double").distinct(), "spans")
+    spans = s.keep(pairs.mapInArrow(verify, "doc_id long, license string, first_word int, n_words int, votes int, similarity double, same int").distinct(), "spans")
     s.drop("texts", "templates")
     x, y = spans.alias("x"), spans.alias("y")
     overlap = (F.col("x.first_word") < F.col("y.first_word") + F.col("y.n_words")) & (F.col("y.first_word") < F.col("x.first_word") + F.col("x.n_words"))
-    return x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & overlap & (F.col("x.similarity") < F.col("y.similarity")), "left_anti")
+    better = F.struct("y.same", "y.similarity") > F.struct("x.same", "x.similarity")
+    return x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & overlap & better, "left_anti").drop("same")

@@ -53,7 +53,7 @@ def window_entropies(text: str, window: int) -> list[float]:
     """The entropy, in bits, of every run of ``window`` characters, by incremental counts."""
     if len(text) < window:
         return []
-    term = [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    term = [0.0] + [c * log2(c) for c in range(1, window + 2)]  # one more enters before one leaves
     count: dict[str, int] = {}
     total = 0.0  # the sum of c log2 c over the counts; the entropy is log2(w) - total / w
     out = []

@@ -45,7 +45,7 @@ class _Best:
         that equal vectors tie exactly."""
         d = _distances(self.q[at], x)
         d[self.own[at][:, None] == ids[None]] = np.inf
-        rows, cols = np.nonzero(d <= self.radius[at][:, None] + 1e-6)
+        rows, cols = np.nonzero((d <= self.radius[at][:, None] + 1e-6) & (d < np.inf))
         first = np.searchsorted(rows, np.arange(len(at) + 1))
         for r in np.flatnonzero(np.diff(first)):
             i, c = at[r], cols[first[r] : first[r + 1]]
@@ -111,14 +111,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, n_pivots: int | None = N
     lowest, and are sent to all tasks (2048 pivots of 1000 dimensions are 16 MB). A task holds at most ``block`` vectors of
     either side; a pivot with more is cut into blocks of neighbouring annuli.
 
-    Null ids and vectors that are null, empty, or hold nulls or NaN take part in nothing, and neither do those of a length
+    Null ids and vectors that are null, empty, or hold nulls, NaN or infinities take part in nothing, and neither do those of a length
     other than the commonest (of ties the largest). An id that repeats counts once, with its least vector. With k or fewer
     other vectors all are neighbours; a single vector, or an empty table, has none. Equal vectors are at distance 0 and
     rank by id. Other columns are never read.
     """
     spark = vectors.sparkSession
     s = Scratch(spark, "topk")
-    finite = ~F.exists(embedding, lambda v: v.isNull() | F.isnan(v.cast("double")))
+    finite = ~F.exists(embedding, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     clean = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & finite)
     clean = clean.groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(F.col(embedding).cast("array<double>")).alias("v"))
     clean = s.keep(clean, "vectors")

@@ -171,11 +171,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``docs`` with one document of each group of :func:`near_duplicates`, that of the least id; of rows that repeat
     an id the one of least text stays. Documents in no group, and rows without an id, stay as they are.
 
-    Ids alone are looked through for repeats, so that texts are shuffled only where there are some."""
+    The join and the window share a partitioning by id, so texts are shuffled once."""
     groups = near_duplicates(docs, doc_id=doc_id, text=text, **params)
-    gone, twice, row = (unused(docs, n) for n in ("gone", "twice", "row"))
+    gone, row = unused(docs, "gone"), unused(docs, "row")
     kept = docs.join(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct(), F.col(doc_id) == F.col(gone), "left_anti")
-    repeated = docs.groupBy(F.col(doc_id).alias(twice)).agg(F.count("*").alias(f"{twice}_n")).where(F.col(f"{twice}_n") > 1).select(twice)
-    once = kept.join(repeated, F.col(doc_id) == F.col(twice), "left_anti")
-    again = kept.join(repeated, F.col(doc_id) == F.col(twice), "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())))
-    return once.union(again.where(F.col(row) == 1).drop(row))
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))
+    return kept.withColumn(row, first).where((F.col(row) == 1) | F.col(doc_id).isNull()).drop(row)

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by greedy string tiling (Wise, 1993; running Karp-Rabin matching).
+"""Benchmark decontamination by greedy string tiling (Wise, 1993).
 
 Runs of ``match`` words that a document shares with a benchmark item are the seeds; a join brings
 them together. Each pair that could reach the threshold is tiled: the longest common runs of
@@ -25,50 +25,51 @@ SENT_BYTES = 64 << 20
 def tiles(item: list[int], doc: list[int], match: int) -> list[tuple[int, int, int]]:
     """Maximal non-overlapping matches ``(item position, document position, length)``, longest first.
 
-    Running Karp-Rabin: for a search length s, the hashes of all unmarked runs of s words of the
-    document are tabled, those of the item looked up, compared word by word and extended. A match of
-    2 s or more restarts with its length; else matches are marked in order of length, and s halves.
+    Only words of the document that lie in a run of ``match`` words of the item can be part of a tile. Over these, the
+    lengths of the common runs of unmarked words are computed item word by item word, from the last to the first, for all
+    document positions at once; the longest are marked in the item's order; and again, till none has ``match`` words.
+    A text that repeats itself so costs no more than its length times the item's, for each length of tile.
     """
     n, m = len(item), len(doc)
-    free_i, free_d = [True] * n, [True] * m
+    seeds = {tuple(item[i : i + match]) for i in range(n - match + 1)}
     known = set(item)
     # A run can match only where all its words occur in the item; the length of such runs, from each position.
     run = [0] * (m + 1)
     for j in range(m - 1, -1, -1):
         run[j] = run[j + 1] + 1 if doc[j] in known else 0
-    places = [j for j in range(m) if run[j] >= match]
+    inside = np.zeros(m + 1, bool)
+    for j in range(m):
+        if run[j] >= match and tuple(doc[j : j + match]) in seeds:
+            inside[j : j + match] = True
+    some = inside.copy()
+    some[1:] |= inside[:-1]  # one word after each passage, never free, keeps the passages apart
+    at = np.flatnonzero(some)
+    free_i, free_d = np.ones(n, bool), inside[at]
+    words = np.array([*doc, 0], np.int64)[at]
     out: list[tuple[int, int, int]] = []
-    s = max(match, min(n, 32))
     while True:
-        table: dict[int, list[int]] = {}
-        for j in places:
-            if run[j] >= s and all(free_d[j : j + s]):
-                table.setdefault(hash(tuple(doc[j : j + s])), []).append(j)
-        found: dict[int, list[tuple[int, int]]] = {}
-        longest = 0
-        for i in range(n - s + 1):
-            if not all(free_i[i : i + s]):
+        k, found = match, []
+        row = np.zeros(len(at) + 1, np.int32)
+        for i in range(n - 1, -1, -1):
+            below, row = row, np.zeros(len(at) + 1, np.int32)
+            if not free_i[i]:
                 continue
-            for j in table.get(hash(tuple(item[i : i + s])), ()):
-                k = 0
-                while i + k < n and j + k < m and item[i + k] == doc[j + k] and free_i[i + k] and free_d[j + k]:
-                    k += 1
-                if k >= s:
-                    found.setdefault(k, []).append((i, j))
-                    longest = max(longest, k)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for k in sorted(found, reverse=True):
-            for i, j in found[k]:
-                if all(free_i[i : i + k]) and all(free_d[j : j + k]):
-                    free_i[i : i + k] = free_d[j : j + k] = [False] * k
-                    out.append((i, j, k))
-        if found:  # what a tile has cut short may still match over s words or more
-            continue
-        if s == match:
+            np.multiply(below[1:] + 1, (words == item[i]) & free_d, out=row[:-1])
+            longest = int(row.max())
+            if longest > k:
+                k, found = longest, []
+            if longest >= k:
+                found.append((i, np.flatnonzero(row == k)))
+        if not found:
             return out
-        s = max(match, s // 2)
+        # What is marked now is as long as what is found, so two that overlap share an end of either.
+        for i, js in reversed(found):
+            if free_i[i] and free_i[i + k - 1]:
+                js = js[free_d[js] & free_d[js + k - 1]]
+                if len(js):
+                    j = int(js[0])
+                    free_i[i : i + k] = free_d[j : j + k] = False
+                    out.append((i, int(at[j]), k))
 
 
 def _seeds(bench: DataFrame, match: int, item: str, text: str) -> DataFrame:
@@ -94,8 +95,9 @@ def find_leaks(
     benchmark item of which tiles of ``match`` words or more cover at least ``threshold`` of the item's words.
 
     Documents are read once, as a whole, in vectorised passes; only those with a seed go on. A pair is
-    tiled only if it shares enough distinct seeds: a tile of L words holds L - match + 1 seeds, no less
-    than L / match, so a pair below ``threshold * words / match`` seeds can't reach the threshold.
+    tiled only if the document holds the seeds of enough positions of the item: a tile of L words covers
+    L - match + 1 of them, no less than L / match, so below ``threshold * words / match`` the threshold is out of
+    reach. A seed counts at every position that has it: in an item that repeats a phrase, many share one.
     Benchmark seeds are sent to the tasks while they measure at most SENT_BYTES; beyond that all
     document seeds go through the join, which no longer depends on the benchmark fitting anywhere.
 
@@ -106,8 +108,10 @@ def find_leaks(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    items = scratch.keep(_seeds(bench, match, item_id, item_text), "items")
-    seeds = items.select("item_id", F.size("words").alias("item_words"), F.explode(F.array_distinct("seeds")).alias("seed"))
+    items = _seeds(bench, match, item_id, item_text).withColumn("item_version", F.xxhash64("words")).dropDuplicates(["item_id", "item_version"])
+    items = scratch.keep(items, "items")
+    seeds = items.select("item_id", "item_version", F.size("words").alias("item_words"), F.explode("seeds").alias("seed"))
+    seeds = seeds.groupBy("item_id", "item_version", "item_words", "seed").agg(F.count("*").alias("places"))
     n_seeds = seeds.count()
     if 8 * n_seeds <= SENT_BYTES:
         sent = np.unique(np.array([r.seed for r in seeds.select("seed").distinct().toLocalIterator()], np.int64).view(np.uint64))
@@ -149,11 +153,12 @@ def find_leaks(
     pairs = (
         hits.select("doc_id", "version", F.explode(F.array_distinct("seeds")).alias("seed"))
         .join(seeds, "seed")
-        .groupBy("doc_id", "version", "item_id", "item_words")
-        .agg(F.count_distinct("seed").alias("shared"))
+        .distinct()  # repeated rows of a document give its seeds again
+        .groupBy("doc_id", "version", "item_id", "item_version", "item_words")
+        .agg(F.sum("places").alias("shared"))
         .where(F.col("shared") * match >= F.col("item_words") * threshold)
     )
-    pairs = pairs.join(hits.select("doc_id", "version", "words"), ["doc_id", "version"]).join(items.select("item_id", F.col("words").alias("item")), "item_id").select("doc_id", "item_id", "words", "item")
+    pairs = pairs.join(hits.select("doc_id", "version", "words"), ["doc_id", "version"]).join(items.select("item_id", "item_version", F.col("words").alias("item")), ["item_id", "item_version"]).select("doc_id", "item_id", "words", "item")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

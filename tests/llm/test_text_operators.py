@@ -172,6 +172,37 @@ def test_leaks(spark, monkeypatch, sent):
     assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == [] and decontaminate.find_leaks(docs.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("sent", [0, 64 << 20])
+def test_leaks_of_items_that_repeat_themselves(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", sent)
+    r = random.Random(8)
+    phrase = prose(r, 6)
+    # One word; two in turn; a phrase again and again, with other words between; an id with two texts.
+    items = ["zero " * 30, "yes no " * 20, " ".join(f"{phrase} {word(r)}" for _ in range(8)), "one two " * 20, "zero " * 25]
+    w = split(items[2])
+    rows = [
+        (1, f"{prose(r, 20)} {items[0]} {prose(r, 9)}"), (2, f"{prose(r, 20)} {items[1]}"), (3, " ".join([*w[30:], prose(r, 5), *w[:30]])),
+        (4, "zero " * 14), (5, items[3]), (6, "zero " * 20_000), (7, prose(r, 60)), (2, f"{prose(r, 20)} {items[1]}"), (8, "yes no " * 9),
+    ]
+    rows[7] = rows[1]
+    bench = spark.createDataFrame([(0, items[0]), (1, items[1]), (1, items[1]), (2, items[2]), (3, items[3]), (3, items[4])], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.covered_words / x.item_words for x in decontaminate.find_leaks(table(spark, rows), bench).collect()}
+    texts = [(0, items[0]), (1, items[1]), (2, items[2]), (3, items[3]), (3, items[4])]
+    expected = {}
+    for d, text in rows:
+        for i, item in texts if d != 6 else []:  # too long for all pairs of positions
+            coverage = tiles_by_force(split(item), split(text), 5) / len(split(item))
+            if coverage >= 0.5:
+                expected[d, i] = max(coverage, expected.get((d, i), 0))
+    assert {(1, 0), (2, 1), (3, 2), (4, 3), (5, 3)} <= set(expected) and 8 not in {d for d, _ in expected}
+    assert got == expected | {(6, 0): 1, (6, 3): 1}
+
+
+def test_tiles_of_long_repetitive_texts():
+    t = decontaminate.tiles([1] * 600, [2, *[1] * 20_000, 3], 5)
+    assert t == [(0, 1, 600)]
+
+
 def test_licenses(spark):
     r = random.Random(9)
     apache, mit = license_scan.TEMPLATES["Apache-2.0"], license_scan.TEMPLATES["MIT"]

@@ -120,15 +120,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
     s = Scratch(docs.sparkSession, "near")
     least = threshold - slack
     sketches = s.keep(_sketches(docs, k, n, doc_id, text), "sketches")
-    # Exact copies: the one with the least id stands for all.
+    # Exact copies: the one with the least id stands for all. Another text of a copy's id stays.
     copies = s.keep(
-        sketches.select("doc_id", "print").withColumn("doc", F.min("doc_id").over(Window.partitionBy("print"))).where("doc_id <> doc").select("doc_id", "doc").distinct(), "copies"
+        sketches.select("doc_id", "print").withColumn("doc", F.min("doc_id").over(Window.partitionBy("print"))).where("doc_id <> doc").distinct(), "copies"
     )
     base = sketches.where(F.size("sketch") > 0)
 
     # Inverted lists. A value that one document alone retains makes no list, but comes first in the order by
     # frequency, so it shortens that document's prefix.
-    one = base.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "sketch")
+    one = base.join(copies.select("doc_id", "print"), ["doc_id", "print"], "left_anti").select(F.col("doc_id").alias("doc"), "sketch")
     size, value = F.size("sketch").cast("short").alias("size"), F.explode("sketch").alias("value")
     retained = one.select("doc", size, value).withColumn("freq", F.count("*").over(Window.partitionBy("value"))).where("freq > 1")
     order = Window.partitionBy("doc").orderBy("freq", "value")

@@ -92,6 +92,14 @@ def test_near_duplicates_cases(spark):
     assert near_dup.near_duplicates(none).collect() == [] and near_dup.drop_near_duplicates(none).collect() == []
 
 
+def test_near_copies_of_an_ids_other_text(spark):
+    r = random.Random(4)
+    a, b = prose(r, 40), prose(r, 40)
+    rows = [(1, a), (10, a), (10, b), (11, b + " more"), (12, prose(r, 40)), (5, b + " still more"), (13, a), (13, b)]
+    got = {x.doc_id: x.group_id for x in near_dup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: 1, 5: 1, 10: 1, 11: 1, 13: 1}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 40)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, None), (7, 7)]

@@ -118,10 +118,9 @@ def find_licenses(docs: DataFrame, known: DataFrame, k: int = 3, gap: int = 3, s
         .groupBy(*key, "t_words", "span")
         .agg(F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("votes"))
     )
-    # A span of the needed similarity has at most (1 - similarity) n differing words, each of which spoils k of its n - k + 1 k-grams.
-    spans = merged.where(F.col("votes") >= F.greatest(F.lit(1), F.col("t_words") - k + 1 - F.floor((1 - similarity) * F.col("t_words") + 1e-9) * k))
+    # Every span is verified: words between those of the template spoil k-grams without making it less similar, so votes give no bound.
     inside = texts.select(F.col("id").alias("doc_id"), "version", "words").dropDuplicates(["doc_id", "version"])
-    pairs = spans.join(inside, ["doc_id", "version"]).join(model.select(F.col("id").alias("license"), F.col("words").alias("template")), "license")
+    pairs = merged.join(inside, ["doc_id", "version"]).join(model.select(F.col("id").alias("license"), F.col("words").alias("template")), "license")
     lo = F.greatest(F.lit(0), F.col("lo"))
     pairs = pairs.select("doc_id", "license", lo.cast("int").alias("first_word"), F.expr("slice(words, cast(greatest(0, lo) as int) + 1, greatest(1, cast(hi - greatest(0, lo) as int) + t_words))").alias("words"), "template", F.col("votes").cast("int"))
 

@@ -234,6 +234,12 @@ def test_licenses(spark):
     assert license_scan.find_licenses(table(spark, rows), known.limit(0)).collect() == []
 
 
+def test_licenses_with_words_between(spark):
+    rows = [(1, "Licensed under the OSI Apache Software License (ASL) Version 2.0"), (2, "Licensed under the rules of the house")]
+    got = license_scan.find_licenses(table(spark, rows), license_scan.templates(spark)).collect()
+    assert [(x.doc_id, x.license, x.n_words, x.votes, x.similarity) for x in got] == [(1, "Apache-2.0-line", 11, 2, 1)]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_subsequence(seed):
     r = random.Random(seed)

@@ -77,6 +77,18 @@ def test_near_duplicates_against_all_pairs(spark, seed):
     assert got == groups_by_force(rows, 0.55)
 
 
+def test_near_duplicates_recall_of_the_defaults(spark):
+    rows = near_corpus(1)
+    expected = groups_by_force(rows, 0.55)
+    got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(table(spark, rows)).collect()}
+
+    def pairs(groups):
+        return {(i, j) for i in groups for j in groups if i < j and groups[i] == groups[j]}
+
+    assert pairs(got) <= pairs(expected)
+    assert len(pairs(got)) >= 0.9 * len(pairs(expected)) and len(got) >= 0.9 * len(expected)
+
+
 def test_near_duplicates_cases(spark):
     r = random.Random(3)
     long = prose(r, 60_000)

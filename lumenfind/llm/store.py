@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
@@ -41,12 +41,42 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_key(docs: DataFrame, row_id: str, text: str) -> Column:
+    """The id of a row, or, of a row without one, a fingerprint of its text, so that every row can be judged. Fingerprints come
+    after all ids in order (whole numbers from 2^62 on; of ids of any other kind text, with SHA-256): a row with an id goes before one without."""
+    kind = docs.schema[row_id].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        print_ = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(text)), 2) + F.lit(1 << 62)
+        return F.coalesce(F.col(row_id).cast("long"), print_)
+    return F.coalesce(F.col(row_id).cast("string"), F.concat(F.lit("\U0010ffff"), F.sha2(F.col(text), 256)))
+
+
+#: Folders of all calls in this process, deleted when it ends: a result that is read lazily may need its tables till then.
+_bases: dict[str, SparkSession] = {}
+
+
+def clean() -> None:
+    """Delete the tables of all calls so far. What their DataFrames have not yet been read for is lost; applications that run for
+    long may call this between jobs. It runs at the end of the process in any case, as far as the session still lives."""
+    while _bases:
+        base, spark = _bases.popitem()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            continue
+
+
+atexit.register(clean)
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/lumenfind-{name}-{uuid.uuid4().hex}"
+        _bases[self.base] = spark
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table as read back."""

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
@@ -139,3 +140,14 @@ def kgrams(hashes: np.ndarray, first: np.ndarray, k: int, whole: bool = False) -
 def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+
+
+def rows(col: pa.Array) -> list[np.ndarray]:
+    """The values of each row of a list column of numbers without nulls."""
+    flat, at = col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def digest(words: np.ndarray) -> int:
+    """A signed 64-bit number of a run of word hashes."""
+    return xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)

@@ -5,9 +5,9 @@ together documents whose sketches overlap; the least k values of the union of tw
 Jaccard similarity; pairs that pass the estimate are verified by the exact Jaccard similarity of their
 n-gram sets; verified pairs and exact copies form the groups.
 
-Long lists are handled exactly, without a cap, in two ways. A document enters the lists of its rarest
-values only, as many as a pair at the threshold of the estimate must share one of (prefix filtering by rising frequency):
-boilerplate that thousands of documents share is never expanded, and a document whose values nobody else has enters none.
+Long lists are handled exactly, without a cap, in two ways. A document enters lists of its rarest values only, as many as
+a pair that passes the estimate must share one of (see :func:`list_masks`): boilerplate that thousands of documents share, and that
+alone wouldn't make them pass, is never expanded, and a document whose values nobody else has enters no list.
 And a list need not give all its pairs: first each document meets the best leader of its lists, which joins a group of
 thousands of copies in about as many pairs; then only pairs of documents that are still in
 different groups follow. Pairs within a group can't change the groups.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .store import Scratch, connected_components, unused
+from .store import Scratch, connected_components, own_key, unused
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,11 @@ def _sketches(docs: DataFrame, k: int, n: int, doc_id: str, text: str) -> DataFr
                 )
 
     some = docs.where(F.col(doc_id).isNotNull() & (F.col(text) != ""))
-    return some.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, print binary, sketch array<long>")
+    return some.select(doc_id, text).mapInArrow(run, f"doc_id {_kind(docs, doc_id)}, print binary, sketch array<long>")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -68,12 +72,71 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 h, first = shingle_sets(*vec.kgrams(w.hash, w.first, n, whole=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), vec.lists(h.view(np.int64), first, pa.int64())], names=["doc", "grams"])
 
-    return docs.mapInArrow(run, "doc long, grams array<long>")
+    return docs.mapInArrow(run, f"doc {_kind(docs, 'doc')}, grams array<long>")
+
+
+#: Sizes that share a list of a value.
+LEVEL = 8
+
+
+def list_masks(at: np.ndarray, first: np.ndarray, size: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """In which lists documents enter their shared values: two boolean tables, of a row a value and a column a size 1 to k.
 
+    ``at`` are the places (from 1) of each document's shared values in its sketch, the rarest value first (by the number of documents that
+    retain it, then by value); values that it alone has are rarer than all. ``first`` parts documents, ``size`` is their sketches' length.
+
+    Let T be the greatest of the k least values of the union of two sketches, a and b the number of values up to T in either, o the
+    number that they share: a + b - o is k, or the whole union if that is smaller, and the estimate passes if o >= least (a + b - o). Let
+    a >= b. The rarest shared value has at most a - o values before it among the first a of the one, and at most b - o among the
+    first b of the other. So if the first table marks a value at size a as one that document may share as the *larger* side of a pair, and the second
+    as one that it may share as the *smaller* side of such a pair, for any b that goes with a, then every pair that passes
+    meets at some value and size. In documents of like size that share boilerplate of half their words or less, it doesn't.
+    """
+    sizes = np.arange(1, k + 1)
+    row = np.repeat(np.arange(len(size)), np.diff(first))
+    s = size[row][:, None]
+    within = at[:, None] <= sizes
+    total = np.concatenate([np.zeros((1, k), np.int32), np.cumsum(within, axis=0, dtype=np.int32)])
+    # The rank by rarity among a document's first a values, itself included; it rises with a.
+    rank = sizes - (total[first[1:]] - total[first[:-1]])[row] + total[1:] - total[first[:-1]][row]
+    need = int(np.ceil(least * k - 1e-9))
+    a = sizes[None]
+    large = within & (2 * a >= k + need) & (a <= s) & (rank <= a - need + 1)
+    b = np.maximum(at[:, None], k + need - a)
+    some = (2 * a >= k + need) & (b <= np.minimum(a, s))
+    small = some & (np.take_along_axis(rank, np.clip(b, 1, k) - 1, 1) <= k - a + 1)
+    # Two whole sets of fewer than k values together.
+    whole = np.take_along_axis(rank, s - 1, 1)
+    short = s < k
+    large |= short & (a == s) & (whole <= s - np.ceil(least * s - 1e-9) + 1)
+    small |= short & (a >= s) & (a < k) & (least * a <= s + 1e-9) & (whole <= s - np.ceil(least / (1 + least) * (a + s) - 1e-9) + 1)
+    return large, small
+
+
+def _entries(shared: DataFrame, k: int, least: float) -> DataFrame:
+    """``(doc, value, level, large, small)``: the lists that each document enters, with the sizes, as bits, at which it is the larger or smaller side."""
+
+    def bits(table: np.ndarray) -> np.ndarray:
+        full = np.zeros((len(table), -(-k // LEVEL) * LEVEL), bool)
+        full[:, :k] = table
+        return (full.reshape(len(table), -1, LEVEL) << np.arange(LEVEL)).sum(2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                first = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+                values = batch.column(2).flatten()
+                large, small = list_masks(values.field("at").to_numpy().astype(np.int64), first, batch.column(1).to_numpy().astype(np.int64), k, least)
+                large, small = bits(large), bits(small)
+                at, level = np.nonzero(large | small)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[at])), values.field("value").take(pa.array(at)), pa.array(level, pa.int16()), pa.array(large[at, level], pa.int16()), pa.array(small[at, level], pa.int16())],
+                    names=["doc", "value", "level", "large", "small"],
+                )
 
-def _rows(col: pa.Array) -> list[np.ndarray]:
-    flat, at = col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
-    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+    return shared.select("doc", "size", "shared").mapInArrow(run, f"doc {_kind(shared, 'doc')}, value long, level short, large short, small short")
 
 
 def _passing(pairs: DataFrame, table: DataFrame, column: str, least: float, k: int | None) -> DataFrame:
@@ -81,11 +144,12 @@ def _passing(pairs: DataFrame, table: DataFrame, column: str, least: float, k: i
     least ``k`` values of their union, or of all values where ``k`` is None."""
     left = table.select(F.col("doc").alias("a"), F.col(column).alias("x"))
     right = table.select(F.col("doc").alias("b"), F.col(column).alias("y"))
+    kind = _kind(table, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(_rows(batch.column(2)), _rows(batch.column(3))):
+            for x, y in zip(vec.rows(batch.column(2)), vec.rows(batch.column(3))):
                 both = np.concatenate([x, y])
                 if k is not None:  # sketches hold the least values as unsigned numbers
                     both = both.view(np.uint64)
@@ -100,7 +164,7 @@ def _passing(pairs: DataFrame, table: DataFrame, column: str, least: float, k: i
                     keep.append(int((twice & (both[1:] <= last)).sum()) >= least * k - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int = 64, slack: float = 0.15, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,7 +175,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
     more: the estimate's standard deviation is at most 0.5 / sqrt(k), so slack 0.15 at k = 64 passes over 98 of 100
     pairs just at the threshold, and nearly all above.
 
-    Two equal non-empty texts are always copies, with or without words. Null and empty texts and null ids
+    Ids may be of any type that has an order, text included. Two equal non-empty texts are always copies, with or without words. Null and empty texts and null ids
     are in no group. Texts of fewer than n words have one n-gram, of all their words. A repeated row (the same id and
     text) isn't a copy of itself. If one id has several texts, each counts, so they are in one group by
     their id. Ties make groups as any other pair does; very long texts are taken whole; an empty table gives
@@ -126,54 +190,60 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
     )
     base = sketches.where(F.size("sketch") > 0)
 
-    # Inverted lists. A value that one document alone retains makes no list, but comes first in the order by
-    # frequency, so it shortens that document's prefix.
+    # Inverted lists. A value that one document alone retains makes none, but comes first in the order by
+    # frequency, so it takes the place of others. A document's shared values are k at most.
     one = base.join(copies.select("doc_id", "print"), ["doc_id", "print"], "left_anti").select(F.col("doc_id").alias("doc"), "sketch")
-    size, value = F.size("sketch").cast("short").alias("size"), F.explode("sketch").alias("value")
-    retained = one.select("doc", size, value).withColumn("freq", F.count("*").over(Window.partitionBy("value"))).where("freq > 1")
-    order = Window.partitionBy("doc").orderBy("freq", "value")
-    ranked = retained.select("doc", "size", "value", "freq", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("doc")).alias("shared"))
-    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1
-    kept = ranked.where(F.col("at") + F.col("size") - F.col("shared") <= prefix).select("doc", "value")
-    lists = s.keep(kept.withColumn("leader", F.min("doc").over(Window.partitionBy("value"))), "lists")
-
-    # First round: each document and the leader that most of its lists have.
-    votes = lists.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("n"))
-    best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("leader")).alias("l"))).alias("x"))
-    first = best.select(F.col("doc").alias("a"), (-F.col("x.l")).alias("b"))
+    places = one.select("doc", F.size("sketch").cast("short").alias("size"), F.posexplode("sketch").alias("at", "value"))
+    retained = places.withColumn("freq", F.count("*").over(Window.partitionBy("value"))).where("freq > 1")
+    listed = F.sort_array(F.collect_set(F.struct("freq", "value", (F.col("at") + 1).cast("short").alias("at")))).alias("shared")
+    lists = _entries(retained.groupBy("doc", "size").agg(listed), k, least)
+    lists = s.keep(lists.withColumn("leader", F.min("doc").over(Window.partitionBy("value", "level"))), "lists")
+
+    # First round: each document and the leader that most of its lists have, of ties the least.
+    votes = lists.where("doc <> leader").groupBy("doc", "leader").agg((-F.count("*")).alias("n"))
+    best = votes.groupBy("doc").agg(F.min(F.struct("n", "leader")).alias("x"))
+    first = best.select(F.col("doc").alias("a"), F.col("x.leader").alias("b"))
     small = one.select("doc", "sketch")
     passing = s.keep(_passing(first, small, "sketch", least, k), "first")
     listed = lists.select("doc").distinct()
     # N-gram sets of the documents in lists: all that verification can ever need.
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     grams = _sets(texts.join(listed, "doc", "left_semi"), n)
     grams = s.keep(grams, "grams")
     verified = s.keep(_passing(passing, grams, "grams", threshold, None), "verified-1")
     roots = s.keep(connected_components(verified, s), "roots")
 
-    # Second round: whatever lists still hold of different groups, as pairs across groups.
-    grouped = lists.select("doc", "value").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    mixed = grouped.withColumn("lo", F.min("root").over(Window.partitionBy("value"))).withColumn("hi", F.max("root").over(Window.partitionBy("value"))).where("lo <> hi")
-    sides = s.keep(mixed.groupBy("value", "root").agg(F.collect_set("doc").alias("docs")), "sides")
-    x, y = sides.alias("x"), sides.alias("y")
-    across = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.root") < F.col("y.root"))).select(F.explode("x.docs").alias("p"), F.col("y.docs").alias("q"))
-    across = across.select("p", F.explode("q").alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    # Second round: the larger and the smaller sides that lists hold of different groups. The list's largest group meets the others but not itself.
+    of_list = Window.partitionBy("value", "level")
+    grouped = lists.drop("leader").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    mixed = grouped.withColumn("lo", F.min("root").over(of_list)).withColumn("hi", F.max("root").over(of_list)).where("lo <> hi").drop("lo", "hi")
+    mixed = mixed.withColumn("n", F.count("*").over(Window.partitionBy("value", "level", "root")))
+    mixed = s.keep(mixed.withColumn("main", F.max(F.struct("n", "root")).over(of_list)["root"] == F.col("root")).drop("n"), "mixed")
+    x = mixed.where("large <> 0").select("value", "level", F.when(F.col("main"), 1).otherwise(0).alias("meets"), F.col("doc").alias("p"), F.col("root").alias("p_root"), "large")
+    meets = F.explode(F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    y = mixed.where("small <> 0").select("value", "level", meets.alias("meets"), F.col("doc").alias("q"), F.col("root").alias("q_root"), "small")
+    across = x.join(y, ["value", "level", "meets"]).where(F.col("p_root") != F.col("q_root")).where(F.col("large").bitwiseAND(F.col("small")) != 0)
+    across = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     passing = s.keep(_passing(across, small, "sketch", least, k), "second")
     more = s.keep(_passing(passing, grams, "grams", threshold, None), "verified-2")
 
     edges = verified.union(more).union(copies.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
     out = s.keep(connected_components(edges, s, "all").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")), "groups")
-    s.drop("sketches", "copies", "lists", "first", "second", "grams", "verified-1", "verified-2", "roots", "sides")
+    s.drop("sketches", "copies", "lists", "first", "second", "grams", "verified-1", "verified-2", "roots", "mixed")
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """``docs`` with one document of each group of :func:`near_duplicates`, that of the least id; of rows that repeat
-    an id the one of least text stays. Documents in no group, and rows without an id, stay as they are.
-
-    The join and the window share a partitioning by id, so texts are shuffled once."""
-    groups = near_duplicates(docs, doc_id=doc_id, text=text, **params)
-    gone, row = unused(docs, "gone"), unused(docs, "row")
-    kept = docs.join(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct(), F.col(doc_id) == F.col(gone), "left_anti")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))
-    return kept.withColumn(row, first).where((F.col(row) == 1) | F.col(doc_id).isNull()).drop(row)
+    an id the one of least text stays. A row without an id goes by a fingerprint of its text, so copies of it go and it goes if
+    it copies a row with an id; rows with neither id nor text, and documents in no group, stay as they are.
+
+    The join and the window share a partitioning by key, so texts are shuffled once."""
+    key, gone, row = unused(docs, "copy_key"), unused(docs, "gone"), unused(docs, "row")
+    docs = docs.withColumn(key, own_key(docs, doc_id, text))
+    groups = near_duplicates(docs, doc_id=key, text=text, **params)
+    kept = docs.join(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct(), F.col(key) == F.col(gone), "left_anti")
+    # Different texts without an id don't stand for each other, even if their keys were equal.
+    first = F.row_number().over(Window.partitionBy(key, F.when(F.col(doc_id).isNull(), F.col(text))).orderBy(F.col(text).asc_nulls_last()))
+    nothing = F.col(doc_id).isNull() & (F.coalesce(F.col(text), F.lit("")) == "")
+    return kept.withColumn(row, first).where((F.col(row) == 1) | nothing).drop(row, key)

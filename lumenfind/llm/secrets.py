@@ -95,23 +95,26 @@ def _mixed(run: str) -> bool:
 
 
 def _scan(run: str, classes: tuple[CharClass, ...], allow: list[re.Pattern]) -> list[tuple[int, int, str, float]]:
-    taken: list[tuple[int, int, str, float]] = []
+    """Secrets of a run, by position: the spans of all classes, those that overlap joined in one sweep; of what joins the
+    narrowest class's first span gives name and bits."""
     if any(a.fullmatch(run) for a in allow):
         return []
-    for cls in classes:
+    found: list[tuple[int, int, int, float]] = []
+    for n, cls in enumerate(classes):
         for m in re.finditer(f"[{re.escape(cls.characters)}]{{{cls.window},}}", run):
             part = m.group()
             if not _mixed(part) or any(a.fullmatch(part) for a in allow):
                 continue
-            for a, b, bits in spans(part, cls):
-                a, b = a + m.start(), b + m.start()
-                if not _mixed(run[a:b]):
-                    continue
-                over = [t for t in taken if t[0] < b and a < t[1]]
-                name, bits = over[0][2:] if over else (cls.name, bits)
-                taken = [t for t in taken if t not in over]
-                taken.append((min([a, *(t[0] for t in over)]), max([b, *(t[1] for t in over)]), name, bits))
-    return sorted(taken)
+            found += [(a + m.start(), b + m.start(), n, bits) for a, b, bits in spans(part, cls) if _mixed(part[a:b])]
+    found.sort()
+    out: list[tuple[int, int, int, float]] = []
+    for a, b, n, bits in found:
+        if out and a < out[-1][1]:
+            c, d, o, most = out[-1]
+            out[-1] = (c, max(b, d), *((n, bits) if n < o else (o, most)))
+        else:
+            out.append((a, b, n, bits))
+    return [(a, b, classes[n].name, bits) for a, b, n, bits in out]
 
 
 def scan_text(run: str, classes: tuple[CharClass, ...], allow: list[re.Pattern], words: re.Pattern | None = None) -> list[tuple[int, int, str, float]]:
@@ -148,8 +151,9 @@ def scan_text(run: str, classes: tuple[CharClass, ...], allow: list[re.Pattern],
     return out
 
 
-def _found(col: pa.Array, classes: tuple[CharClass, ...], allow: list[re.Pattern], words: re.Pattern | None) -> list[tuple[int, int, int, str, float]]:
-    """Secrets ``(row, from byte, to byte, class, bits)`` of a slice; runs are found for all rows at once."""
+def _found(col: pa.Array, classes: tuple[CharClass, ...], allow: list[re.Pattern], words: re.Pattern | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, str, float]]]:
+    """The bytes of a slice and the offset of each row, and its secrets ``(row, from byte, to byte, class, bits)`` in order; runs are
+    found for all rows at once."""
     data, offsets = vec.joined(col)
     member = np.zeros(256, bool)
     member[[ord(c) for cls in classes for c in cls.characters]] = True
@@ -162,15 +166,16 @@ def _found(col: pa.Array, classes: tuple[CharClass, ...], allow: list[re.Pattern
     long = end - start >= min(c.window for c in classes)
     start, end = start[long], end[long]
     if not len(start):
-        return []
+        return data, offsets, []
     digits = np.concatenate([[0], np.cumsum(digit[data], dtype=np.int32)])
     some = digits[end] > digits[start]  # without a digit none is mixed
+    start, end = start[some], end[some]
+    rows = np.searchsorted(offsets, start, side="right") - 1
     out = []
-    for s, e in zip(start[some], end[some]):
-        row = int(np.searchsorted(offsets, s, side="right")) - 1
+    for row, s, e in zip(rows.tolist(), start.tolist(), end.tolist()):
         for a, b, name, bits in scan_text(data[s:e].tobytes().decode("ascii"), classes, allow, words):
-            out.append((row, int(s + a - offsets[row]), int(s + b - offsets[row]), name, bits))
-    return out
+            out.append((row, s + a, s + b, name, bits))
+    return data, offsets, out
 
 
 def find_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, doc_id: str = "doc_id", text: str = "text", words: str | None = WORDS) -> DataFrame:
@@ -189,16 +194,17 @@ def find_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
         for batch in batches:
             for a, b in vec.slices(vec.as_strings(batch.column(1))):
                 part = batch.slice(a, b - a)
-                rows = []
-                for row, s, e, name, bits in _found(part.column(1), classes, listed, held):
-                    raw = part.column(1)[row].as_py().encode()
-                    rows.append((row, len(raw[:s].decode()), e - s, name, round(bits, 6), raw[s:e].decode()))
-                if rows:
-                    at, *cols = zip(*rows)
-                    kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "start", "length", "class", "bits", "secret"]
-                    )
+                data, offsets, hits = _found(part.column(1), classes, listed, held)
+                if not hits:
+                    continue
+                # Characters up to each byte: all bytes but those that continue one.
+                count = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                rows = [(row, int(count[s] - count[offsets[row]]), e - s, name, round(bits, 6), data[s:e].tobytes().decode("ascii")) for row, s, e, name, bits in hits]
+                at, *cols = zip(*rows)
+                kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "start", "length", "class", "bits", "secret"]
+                )
 
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, start int, length int, class string, bits double, secret string")
@@ -218,17 +224,16 @@ def redact_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, al
         for batch in batches:
             for a, b in vec.slices(vec.as_strings(batch.column(at))):
                 part = batch.slice(a, b - a)
+                data, offsets, hits = _found(part.column(at), classes, listed, held)
                 found: dict[int, list] = {}
-                for row, s, e, *_ in _found(part.column(at), classes, listed, held):
+                for row, s, e, *_ in hits:
                     found.setdefault(row, []).append((s, e))
                 if found:
                     texts, columns = part.column(at).to_pylist(), list(part.columns)
                     sizes = columns[count].to_pylist() if count is not None else []
                     for row, cuts in found.items():
-                        raw = texts[row].encode()
-                        for s, e in reversed(cuts):
-                            raw = raw[:s] + mask.encode() + raw[e:]
-                        texts[row] = raw.decode()
+                        edges = [int(offsets[row]), *(x for cut in cuts for x in cut), int(offsets[row + 1]) - 1]
+                        texts[row] = mask.join(data[s:e].tobytes().decode() for s, e in zip(edges[::2], edges[1::2]))
                         if sizes:
                             sizes[row] = len(texts[row])
                     columns[at] = pa.array(texts, columns[at].type)

@@ -42,9 +42,16 @@ SENT_BYTES = 64 << 20
 
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """``(license, text)`` of the notices above, or of ``texts``."""
     return spark.createDataFrame(list((TEMPLATES if texts is None else texts).items()), "license string, text string")
 
 
+def templates_of_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """``(license, text)`` of a folder of license files, whole, each named by its license (an ending .txt is left out)."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1)
+    return spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("license"), F.col("value").alias("text"))
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """The length of the longest common subsequence, by bit-parallel rows."""
     at: dict[int, int] = {}
@@ -67,7 +74,7 @@ def find_licenses(docs: DataFrame, known: DataFrame, k: int = 3, gap: int = 3, s
     template, in words, must be at least ``similarity`` of the template's. ``first_word`` and ``n_words`` give the
     span in words; ``votes`` the distinct template positions hit.
 
-    Null ids are kept as null ids are no key: such rows, and null or empty texts, have no result. Templates of
+    Ids may be of any type that can be grouped by, text included. Rows with a null id, which is no key, and null or empty texts have no result. Templates of
     fewer than k words, or null, match nothing. Repeated rows (the same id and text) give one result; each
     copy within a text gives one. Of templates that match overlapping words the one of most words in common is
     reported, of these the most similar, or all that tie: so a whole license goes before the line that it begins with.
@@ -103,8 +110,9 @@ def find_licenses(docs: DataFrame, known: DataFrame, k: int = 3, gap: int = 3, s
     places = model.select(F.col("id").alias("license"), F.size("words").alias("t_words"), F.posexplode("grams").alias("t_pos", "gram"))
     sent = None
     if 8 * places.count() <= SENT_BYTES:
-        sent = spark.sparkContext.broadcast(np.unique(np.array([r.gram for r in places.select("gram").distinct().toLocalIterator()], np.int64).view(np.uint64)))
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(*hashed("long", sent))
+        sent = spark.sparkContext.broadcast(np.unique(places.select("gram").distinct().toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    texts = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(*hashed(kind, sent))
     texts = s.keep(texts.withColumn("version", F.xxhash64("words")), "texts")
 
     key = ["doc_id", "version", "license"]
@@ -126,19 +134,20 @@ def find_licenses(docs: DataFrame, known: DataFrame, k: int = 3, gap: int = 3, s
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d, lic, first, words, template, n in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, at = [], []
+            for r, (lic, first, words, template, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
                 same = common_subsequence(template, words)
                 if same >= similarity * len(template) - 1e-9:
                     # the span proper: without words before and after that the template doesn't have
                     have = set(template)
                     hits = [i for i, x in enumerate(words) if x in have]
-                    rows.append((d, lic, first + hits[0], hits[-1] - hits[0] + 1, n, round(same / len(template), 6), same))
-            cols = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["doc_id", "license", "first_word", "n_words", "votes", "similarity", "same"])
+                    at.append(r)
+                    rows.append((lic, first + hits[0], hits[-1] - hits[0] + 1, n, round(same / len(template), 6), same))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, kinds))], names=["doc_id", "license", "first_word", "n_words", "votes", "similarity", "same"])
 
-    spans = s.keep(pairs.mapInArrow(verify, "doc_id long, license string, first_word int, n_words int, votes int, similarity double, same int").distinct(), "spans")
+    spans = s.keep(pairs.mapInArrow(verify, f"doc_id {kind}, license string, first_word int, n_words int, votes int, similarity double, same int").distinct(), "spans")
     s.drop("texts", "templates")
     x, y = spans.alias("x"), spans.alias("y")
     overlap = (F.col("x.first_word") < F.col("y.first_word") + F.col("y.n_words")) & (F.col("y.first_word") < F.col("x.first_word") + F.col("x.n_words"))

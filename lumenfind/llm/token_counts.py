@@ -28,6 +28,22 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def _publish(system: fs.FileSystem, unfinished: str, name: str) -> None:
+    """Gives a complete file its name. Another attempt of the same task may have been first, and some file systems refuse to
+    replace a file: then its bytes, which are the same, stay."""
+    size = system.get_file_info(unfinished).size
+    try:
+        if system.get_file_info(name).type == fs.FileType.NotFound:
+            system.move(unfinished, name)
+            return
+    except OSError:
+        pass  # it appeared meanwhile, or the move failed for another reason, which shows below
+    if system.get_file_info(name).size != size:  # none, or one that isn't ours
+        raise OSError(f"can't write {name}")
+    if system.get_file_info(unfinished).type != fs.FileType.NotFound:
+        system.delete_file(unfinished)
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int, doc_id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """Encode texts to one flat file per partition in ``folder`` (lazily: as the returned rows are computed).
 
@@ -56,10 +72,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int, d
                     out.write(mark)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), pa.array(range(n, n + batch.num_rows), pa.int64()), batch.column(0)], names=["file", "doc_index", "doc_id"])
                 n += batch.num_rows
-        if n:
-            system.move(unfinished, f"{at}/{name}")
-        else:
+        if not n:
             system.delete_file(unfinished)
+        else:
+            _publish(system, unfinished, f"{at}/{name}")
 
     return docs.select(doc_id, text).mapInArrow(run, f"file string, doc_index long, doc_id {kind}")
 
@@ -102,10 +118,18 @@ def count_tokens(spark: SparkSession, folder: str, end: int, width: int = 2, blo
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, marks, docs, carry in zip(*(c.to_pylist() for c in batch.columns)):
-                m = np.array(marks, np.int64)
-                start = np.concatenate([[carry], m[:-1]]) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(m)), pa.array(docs + np.arange(len(m))), pa.array(start), pa.array(m - start), pa.array([True] * len(m))], names=["file", "doc_index", "start", "n_tokens", "terminated"])
+            # The separators of all blocks of a batch at once; the first of each block closes what earlier blocks began.
+            n = batch.column(1).value_lengths().to_numpy()
+            m = batch.column(1).flatten().to_numpy()
+            first = np.cumsum(n) - n
+            start = np.empty(len(m), np.int64)
+            start[1:] = m[:-1] + 1
+            start[first] = batch.column(3).to_numpy() + 1
+            row = np.repeat(np.arange(len(n)), n)
+            index = np.arange(len(m)) - first[row] + batch.column(2).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(index), pa.array(start), pa.array(m - start), pa.array(np.ones(len(m), bool))], names=["file", "doc_index", "start", "n_tokens", "terminated"]
+            )
 
     whole = closed.select("file", "marks", "docs", "carry").mapInArrow(stitch, "file string, doc_index long, start long, n_tokens long, terminated boolean")
     tail = scanned.groupBy("file").agg(F.max("tokens").alias("tokens"), F.sum("n").alias("doc_index"), F.max("last").alias("last")).where("last + 1 < tokens")
@@ -117,11 +141,13 @@ def count_document_tokens(docs: DataFrame, vocabulary: str, end: int, doc_id: st
     separators, and each document found in them named by its place in the order of writing.
 
     Null and empty texts count 0 tokens; null and repeated ids are kept as they are, one result per row. An empty
-    table gives an empty result; other columns are never read.
+    table gives an empty result; other columns are never read. The token files go when they are counted; :func:`write_token_files` keeps them.
     """
     spark = docs.sparkSession
     s = Scratch(spark, "tokens")
     folder = f"{s.base}/files"
     order = s.keep(write_token_files(docs, vocabulary, folder, end, doc_id, text), "order")
     counts = count_tokens(spark, folder, end, block=block)
-    return counts.join(order, ["file", "doc_index"]).select("doc_id", "n_tokens", "file", "doc_index")
+    out = s.keep(counts.join(order, ["file", "doc_index"]).select("doc_id", "n_tokens", "file", "doc_index"), "counts")
+    s.drop("files", "order")
+    return out

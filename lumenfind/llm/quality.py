@@ -2,8 +2,8 @@
 
 Trusted positives are the documents that labels call good; the whole corpus is the unlabelled set. Labels of
 bad documents are never trained on. The share of good documents in the corpus is estimated first: a
-classifier of positives against the corpus ranks all documents, and the least ratio between the corpus's and the
-positives' share above a score bounds the prior (best bin estimation, Garg et al. 2021). Then a linear
+classifier of four fifths of the positives against the corpus ranks all documents, and the least ratio between the corpus's and the
+other positives' share above a score bounds the prior (best bin estimation, Garg et al. 2021). Then a linear
 model minimises  p R_p(+) + max(0, R_u(-) - p R_p(-))  by full-batch gradient steps.
 
 Texts are read once to fit (features are some fifty numbers a document, kept in the shared folder) and
@@ -120,6 +120,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def held_out(x: np.ndarray) -> np.ndarray:
+    """A fifth of all rows, by their features: the same in every pass."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32).astype(vec.U)
+    return vec.mix((bits * np.arange(1, 2 * x.shape[1], 2, dtype=vec.U)).sum(1)) % vec.U(5) == 0
+
+
+def risk_terms(z: np.ndarray, positive: np.ndarray, w: np.ndarray, n_p: float, n_u: float) -> np.ndarray:
+    """What a block adds to R_p(-), R_u(-) and their gradients, with the sigmoid loss l(z, +) = s(-z), l(z, -) = s(z)."""
+    s = _sigmoid(z @ w)
+    slope = s * (1 - s)
+    return np.concatenate([[s[positive].sum() / n_p, s.sum() / n_u], z[positive].T @ slope[positive] / n_p, z.T @ slope / n_u])
+
+
+def risk_step(terms: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk  p R_p(+) + max(0, R_u(-) - p R_p(-)), and the direction to step against: its gradient, or, where the
+    second part is below zero, which only overfitting can do, the one that raises that part again."""
+    d = len(terms) // 2 - 1
+    g_p, g_u = terms[2 : 2 + d], terms[2 + d :]
+    negative = terms[1] - prior * terms[0]
+    risk = prior * (1 - terms[0]) + max(0.0, negative)
+    return risk, (g_u - 2 * prior * g_p if negative >= 0 else prior * g_p - g_u)
+
+
 class _Adam:
     def __init__(self, n: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(n), np.zeros(n), 0, rate
@@ -157,12 +180,13 @@ def featurize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, x binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", prior_steps: int = 12, steps: int = 24) -> tuple[Model | None, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", prior_steps: int = 12, steps: int = 24, keep_table: bool = True) -> tuple[Model | None, DataFrame]:
     """The model, and the table ``(doc_id, x, positive)`` of features that it was fitted on.
 
     All documents are unlabelled data and all whose labels (one or several) all say 1 are trusted
     positives; no row is sampled. Null texts and texts without words are left out, as are labels with a
-    null id or value. Without any positive there is nothing to learn from, and no model.
+    null id or value. Without any positive there is nothing to learn from, and no model. The table stays in the shared folder
+    for scoring, unless ``keep_table`` is unset.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     good = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(label) == 1).alias("positive"))
@@ -182,21 +206,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     scale = np.sqrt(np.maximum(s[2 + d :] / n_u - mean**2, 0)) + 0.1
     w = np.zeros(d + 1)
 
-    # Positives against the corpus, to rank documents for the prior.
+    # Positives against the corpus, to rank documents for the prior. A fifth of the positives is held out of this fit, as those that were
+    # fitted score higher than others of their kind; with fewer than five all serve for both.
+    some = _sums(table, 1, lambda x, p: np.array([(held_out(x) & p & x.any(1)).sum()]))[0]
+    split = n_p >= 5 and 0 < some < n_p
+    n_fit = n_p - some if split else n_p
     adam = _Adam(d + 1, 0.15)
     for _ in range(prior_steps):
 
         def logistic(x: np.ndarray, p: np.ndarray, w=w) -> np.ndarray:
             x, p = x[(keep := x.any(1))], p[keep]
+            p = p & ~held_out(x) if split else p
             z = _standard(x, mean, scale)
             s = _sigmoid(z @ w)
-            return z.T @ s / n_u - z[p].T @ (1 - s[p]) / n_p
+            return z.T @ s / n_u - z[p].T @ (1 - s[p]) / n_fit
 
         w = w - adam.step(_sums(table, d + 1, logistic) + 1e-3 * w)
     bins = 400
 
     def histogram(x: np.ndarray, p: np.ndarray) -> np.ndarray:
         x, p = x[(keep := x.any(1))], p[keep]
+        p = p & held_out(x) if split else p
         at = np.clip(((1 - _sigmoid(_standard(x, mean, scale) @ w)) * bins).astype(int), 0, bins - 1)
         return np.concatenate([np.bincount(at[p], minlength=bins), np.bincount(at, minlength=bins)])
 
@@ -206,22 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     adam = _Adam(d + 1, 0.15)
     for _ in range(steps):
 
-        def risks(x: np.ndarray, p: np.ndarray, w=w) -> np.ndarray:
-            # With the sigmoid loss: l(z, +) = s(-z), l(z, -) = s(z).
+        def terms(x: np.ndarray, p: np.ndarray, w=w) -> np.ndarray:
             x, p = x[(keep := x.any(1))], p[keep]
-            z = _standard(x, mean, scale)
-            s = _sigmoid(z @ w)
-            slope = s * (1 - s)
-            g_p = z[p].T @ slope[p] / n_p
-            return np.concatenate([[s[p].sum() / n_p, s.sum() / n_u], g_p, z.T @ slope / n_u])
-
-        r = _sums(table, 2 + 2 * (d + 1), risks)
-        g_p, g_u = r[2 : 3 + d], r[3 + d :]
-        if r[1] - prior * r[0] >= 0:
-            g = -prior * g_p + g_u - prior * g_p
-        else:  # the negative part has gone below zero, which only overfitting can do: step back
-            g = -(g_u - prior * g_p)
+            return risk_terms(_standard(x, mean, scale), p, w, n_p, n_u)
+
+        _, g = risk_step(_sums(table, 2 + 2 * (d + 1), terms), prior)
         w = w - adam.step(g + 1e-3 * w)
+    if not keep_table:
+        scratch.drop()
     return Model(w.tolist(), mean.tolist(), scale.tolist(), prior), table
 
 
@@ -254,7 +276,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     are: no join back by id, no shuffle of texts. Null, empty and wordless texts go; without any trusted positive, or any row, all stays."""
     if docs.isEmpty():
         return docs
-    model, _ = fit(docs, labels, doc_id, text, **params)
+    model, _ = fit(docs, labels, doc_id, text, keep_table=False, **params)
     if model is None:
         return docs
     at = docs.columns.index(text)

@@ -19,5 +19,6 @@ def frequent_terms(index: DocumentIndex, field: str) -> DataFrame:
     f = index.schema.fields[field]
     if f.supplement is not Supplement.FILTER:
         raise ValueError(f"field {field} has no facets")
-    rows = index.dictionary(field)
-    return rows.orderBy(F.desc("df"), "term_num" if f.numeric else "term").select("df", term_key().alias("term"))
+    # Ties by the term's own order: numbers and dates as such.
+    rows = index.dictionary(field).select("df", term_key().alias("term"))
+    return rows.orderBy(F.desc("df"), f.decode(F.col("term")))

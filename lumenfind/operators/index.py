@@ -1,26 +1,42 @@
 """The document index: postings, dictionary and documents per field, as DataFrames and Parquet.
 
 ``postings(field, term, term_num, doc_id)`` is a set; text terms are in ``term``, numbers in ``term_num``. On disk it is
-a sequence of segments, one a commit, each partitioned by field and by a hash bucket of the term and sorted by term within
-files, so that a term's lookup reads a few row groups. The dictionary and each field's number of documents
-are merged from those of the last commit and the new segment; no commit reads old postings except for documents that it repeats.
+a sequence of segments. Each has its postings, the number of documents of each of its terms, and the documents that
+no earlier segment knows, partitioned by field and by a hash bucket of the term and sorted by term within files: a lookup opens one bucket a
+segment, and there a few row groups. A segment has as many buckets as its size asks for, and a bucket as many files.
+
+A commit writes one segment and no more: it reads of the old ones only the ids of documents, and the postings of
+those that come again. Segments of like size merge, so that there are few, and each posting is written a logarithmic number of times. What
+the index consists of is in a numbered manifest, which appears at once when all else is written.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from dataclasses import asdict
+import zlib
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass, field
 from functools import reduce
+from itertools import groupby
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.pipeline import Pipeline, QueryPipeline
+from ..plans.pipeline import Bucket, IndexPipeline, Pipeline, QueryPipeline, run_into
 from ..schema import DocumentSchema, FieldDef, FieldGroup, Supplement
+from ..sources import folders
 
 POSTINGS = "field string, term string, term_num decimal(20,0), doc_id long"
+DICTIONARY = "field string, term string, term_num decimal(20,0), df long"
+DOCS = "field string, doc_id long"
 KEYS = ["field", "term", "term_num"]
+#: Bytes of documents for each bucket of a segment, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 1 << 14
+#: Neighbouring segments of like size that merge, each up to this many times as large as another.
+FANOUT = 8
+
+Term = tuple[str, str]
 
 
 def default_idf(n_docs: Column, df: Column) -> Column:
@@ -28,31 +44,62 @@ def default_idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + n_docs / df)
 
 
-def same_term(a: DataFrame, b: DataFrame) -> Column:
-    return (a["field"] == b["field"]) & a["term"].eqNullSafe(b["term"]) & a["term_num"].eqNullSafe(b["term_num"])
-
-
 def term_key(term: str = "term", number: str = "term_num") -> Column:
-    """One text for both kinds of terms, so that joins have plain keys; within a field it is unambiguous."""
+    """One text for both kinds of terms; within a field it is unambiguous."""
     return F.coalesce(F.col(term), F.col(number).cast("string"))
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def bucket_number(term: str, buckets: int) -> int:
+    """The same on the driver."""
+    return zlib.crc32(term.encode()) % buckets
+
+
+@dataclass(frozen=True)
+class Segment:
+    """Files of one commit or merge: its postings, and for each field the documents that it has first."""
+
+    name: str
+    buckets: int
+    rows: int
+    n_docs: dict[str, int] = field(default_factory=dict)
+
+
+class FieldBucket(Bucket):
+    """A sink for token streams: a field of an index."""
+
+    def __init__(self, index: DocumentIndex, name: str):
+        self.index, self.name = index, name
+
+    def put(self, stream: DataFrame) -> None:
+        self.index._buffer.append(stream.select(F.lit(self.name).alias("field"), "term", "term_num", F.col("doc_id").cast("long").alias("doc_id")))
+
+
 class DocumentIndex:
     """An index over the fields of a schema; add documents, commit, query.
 
     What is added shows from the next commit on. Without ``base_path`` the index lives in the session alone.
+    ``buckets`` fixes the number of buckets of new segments, which else follows from the size of what is added.
     """
 
-    def __init__(self, spark: SparkSession, schema: DocumentSchema, base_path: str | None = None, buckets: int = 8, idf: Callable[[Column, Column], Column] = default_idf):
+    def __init__(self, spark: SparkSession, schema: DocumentSchema, base_path: str | None = None, buckets: int | None = None, idf: Callable[[Column, Column], Column] = default_idf):
         self.spark, self.schema, self.base_path, self.buckets, self.idf = spark, schema, base_path, buckets, idf
         self._buffer: list[DataFrame] = []
-        self._segments: list[str] = []
-        self._postings: DataFrame = spark.createDataFrame([], POSTINGS)
-        self._df: DataFrame | None = None
-        self._docs: DataFrame | None = None
+        self._segments: list[Segment] = []
+        self._version = self._next = 0
+        self._obsolete: list[str] = []
+        self._memory: DataFrame | None = None  # postings that are not read from files
+        self._counted: DataFrame | None = None  # their dictionary
+        self._n_docs: dict[str, int] | None = None
         self._external: DataFrame | None = None
+        self._external_name: str | None = None
+        self._sources: dict[str, str] = {}
+        self._query_source: str | None = None
         self._query_pipeline: QueryPipeline | Callable[[DataFrame], DataFrame] | None = None
-        self.pipelines: dict[str, Pipeline] = {}
+        self.pipelines: dict[str, IndexPipeline] = {}
 
     # Creation, loading
 
@@ -63,15 +110,26 @@ class DocumentIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, base_path: str, **options) -> DocumentIndex:
-        """The index as of its last complete commit."""
-        meta = json.loads(_read(spark, f"{base_path}/index.json"))
+        """The index as of its last complete commit, with its external ids and the pipelines that were given as text."""
+        versions = _versions(spark, base_path)
+        if not versions:
+            raise FileNotFoundError(f"no index in {base_path}")
+        meta = json.loads(folders.read_text(spark, _manifest(base_path, versions[-1])))
         schema = DocumentSchema(external_id=meta["external_id"])
         for g in meta["groups"]:
             schema.add(FieldGroup(**g))
         for f in meta["fields"]:
             schema.add(FieldDef(**{**f, "supplement": Supplement(f["supplement"])}))
-        index = cls(spark, schema, base_path, buckets=meta["buckets"], **options)
-        index._open(meta["segments"])
+        index = cls(spark, schema, base_path, **{"buckets": meta["buckets"], **options})
+        index._segments = [Segment(**s) for s in meta["segments"]]
+        index._version, index._next, index._obsolete = versions[-1], meta["next"], meta["obsolete"]
+        if meta["external"]:
+            index._external_name = meta["external"]
+            index._external = spark.read.parquet(f"{base_path}/{meta['external']}")
+        for source in meta["pipelines"].values():
+            index.set_pipeline(source)
+        if meta["query_pipeline"]:
+            index.set_query_pipeline(meta["query_pipeline"])
         return index
 
     def add_field(self, group: str, name: str, supplement: Supplement = Supplement.NONE, term_doc_ratio: float = 1.0) -> FieldDef:
@@ -79,114 +137,262 @@ class DocumentIndex:
 
     # Indexing
 
-    def set_pipeline(self, pipeline: str | Pipeline) -> Pipeline:
-        """The pipeline of the field that it names; the last one set holds."""
-        p = (Pipeline.parse(pipeline) if isinstance(pipeline, str) else pipeline).check(self.schema.targets())
-        self.pipelines[p.field] = p
-        return p
+    def set_pipeline(self, pipeline: str | IndexPipeline, field: str | None = None) -> IndexPipeline:
+        """The pipeline of a field: text that names its field, a Pipeline, or, with ``field``, any function from ``(doc_id, token)`` rows
+        with whole texts to ``(doc_id, term)`` rows or to rows of several fields, ``(field, doc_id, term)``. The last one set holds."""
+        if isinstance(pipeline, str):
+            parsed = Pipeline.parse(pipeline).check(self.schema.targets())
+            self._sources[parsed.field] = pipeline
+        else:
+            parsed = pipeline.check(self.schema.targets()) if isinstance(pipeline, Pipeline) else pipeline
+            if not isinstance(parsed, Pipeline) and field not in self.schema.fields:
+                raise ValueError("a function needs the field that it is for")
+            self._sources.pop(field if field is not None else parsed.field, None)
+        self.pipelines[field if field is not None else parsed.field] = parsed
+        return parsed
+
+    def bucket(self, field: str) -> FieldBucket:
+        """The field as a sink of token streams."""
+        return FieldBucket(self, self.schema.fields[field].name)
 
     def add_documents(self, docs: DataFrame, columns: dict[str, str], doc_id: str = "doc_id") -> None:
         """Runs the pipelines of the fields named in ``columns`` (field to text column) over ``docs``. Null texts give no terms."""
-        for field, column in columns.items():
-            self._buffer.append(self.pipelines[field].apply(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("token"))))
+        for name, column in columns.items():
+            texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("token"))
+            pipeline = self.pipelines[name]
+            if isinstance(pipeline, Pipeline):
+                run_into(pipeline, texts, self.bucket)
+                continue
+            out = pipeline(texts)
+            if "field" not in out.columns:
+                self.put(name, out)
+                continue
+            for f in self.schema.fields:
+                self.put(f, out.where(F.col("field") == f))
 
     def put(self, field: str, terms: DataFrame) -> None:
-        """Adds ``(doc_id, term)`` rows to a field without a pipeline."""
-        number = self.schema.fields[field].numeric
-        text, num = (F.lit(None).cast("string"), F.col("term").cast("decimal(20,0)")) if number else (F.col("term").cast("string"), F.lit(None).cast("decimal(20,0)"))
-        self._buffer.append(terms.where("term IS NOT NULL").select(F.lit(field).alias("field"), text.alias("term"), num.alias("term_num"), F.col("doc_id").cast("long").alias("doc_id")))
+        """Adds ``(doc_id, term)`` rows to a field without a pipeline. Terms are of the field's type; null ones are left out."""
+        text, num = self.schema.fields[field].encode(F.col("term"))
+        self.bucket(field).put(terms.where("term IS NOT NULL").select("doc_id", text.alias("term"), num.alias("term_num")))
+
+    def rollback(self) -> None:
+        """Forgets what was added since the last commit."""
+        self._buffer = []
 
     def commit(self) -> DocumentIndex:
-        """Makes what was added visible: a new segment, and the dictionary and document counts merged with it."""
+        """Makes what was added visible. If it fails nothing has changed, and what was added is still there to commit."""
         if not self._buffer:
             return self
-        new = reduce(DataFrame.unionByName, self._buffer).where("doc_id IS NOT NULL").dropDuplicates(["field", "term", "term_num", "doc_id"])
-        self._buffer = []
-        if self._df is not None:
-            old = self._postings
-            if self._segments:  # only documents that come again can repeat postings
-                again = self._docs.select("field", "doc_id").join(new.select("field", "doc_id").distinct(), ["field", "doc_id"], "left_semi")
-                old = old.join(again, ["field", "doc_id"], "left_semi")
-            keyed = old.select("field", term_key().alias("k"), "doc_id")
-            new = new.withColumn("k", term_key()).join(keyed, ["field", "k", "doc_id"], "left_anti").drop("k")
+        added = reduce(DataFrame.unionByName, self._buffer)
+        new = added.where("doc_id IS NOT NULL AND (term IS NOT NULL OR term_num IS NOT NULL)").dropDuplicates(["field", "term", "term_num", "doc_id"])
         if self.base_path:
-            self._write(new)
+            segments = [*self._segments, self._write(self._unknown(new), self.buckets or buckets_for(added))]
+            self._publish(segments)
+            self.unpersist()
+            self._n_docs = None
         else:
-            self._postings = self._postings.unionByName(new.select(*self._postings.columns))
-            self._df = self._docs = None
-            self._count(self._postings)
+            old = self._memory
+            if old is not None:
+                new = old.unionByName(new.select(*old.columns)).dropDuplicates(["field", "term", "term_num", "doc_id"])
+            self._memory, self._counted, self._n_docs = new.select("field", "term", "term_num", "doc_id"), None, None
+        self._buffer = []
+        if self.base_path:
+            self._merge_tiers()
         return self
 
-    def _count(self, postings: DataFrame) -> None:
-        df = postings.groupBy(*KEYS).agg(F.count("*").alias("df"))
-        docs = postings.select("field", "doc_id").distinct()
-        self._df = df if self._df is None else self._df.unionByName(df).groupBy(*KEYS).agg(F.sum("df").alias("df"))
-        self._docs = docs if self._docs is None else self._docs.unionByName(docs).distinct()
-
-    def _write(self, new: DataFrame) -> None:
-        name = f"segment-{len(self._segments):05d}"
+    def _unknown(self, new: DataFrame) -> DataFrame:
+        """Postings that no segment has. Only documents that come again can repeat any."""
+        if not self._segments:
+            return new
+        again = self._read("docs", DOCS).join(new.select("field", "doc_id").distinct(), ["field", "doc_id"], "left_semi")
+        old = self._read("postings", POSTINGS).join(again, ["field", "doc_id"], "left_semi")
+        keyed = old.select("field", term_key().alias("k"), "doc_id")
+        return new.withColumn("k", term_key()).join(keyed, ["field", "k", "doc_id"], "left_anti").drop("k")
+
+    def _write(self, new: DataFrame, buckets: int, known: list[Segment] | None = None) -> Segment:
+        """A segment of postings; ``known`` are the segments whose documents aren't new (all, by default)."""
+        name = f"segment-{self._next:06d}"
+        self._next += 1
         path = f"{self.base_path}/{name}"
-        bucket = F.pmod(F.xxhash64(term_key()), F.lit(self.buckets)).cast("int").alias("bucket")
-        rows = new.select("*", bucket).repartition("field", "bucket", F.pmod("doc_id", F.lit(4))).sortWithinPartitions("field", "bucket", "term", "term_num", "doc_id")
-        rows.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/postings")
-        self._count(self._read_postings([name]))
-        self._df.write.mode("overwrite").parquet(f"{path}/dictionary")
-        self._docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self._open([*self._segments, name])
-        self.save_schema()
 
-    def save_schema(self) -> None:
+        def store(rows: DataFrame, table: str, *order: str) -> None:
+            # Partitions by bucket, of which adaptive execution splits the large and joins the small ones.
+            rows = rows.hint("rebalance", F.col("field"), F.col("bucket")).sortWithinPartitions("field", "bucket", *order)
+            rows.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/{table}")
+
+        store(new.select("field", "term", "term_num", "doc_id", bucket_of(term_key(), buckets)), "postings", "term", "term_num", "doc_id")
+        written = self.spark.read.schema(POSTINGS + ", bucket int").parquet(f"{path}/postings")
+        store(written.groupBy("field", "bucket", "term", "term_num").agg(F.count("*").alias("df")), "dictionary", "term", "term_num")
+        docs = written.select("field", "doc_id").distinct()
+        known = self._segments if known is None else known
+        if known:
+            docs = docs.join(self._read("docs", DOCS, known), ["field", "doc_id"], "left_anti")
+        docs.write.mode("overwrite").partitionBy("field").parquet(f"{path}/docs")
+        stored = self.spark.read.schema(DOCS).parquet(f"{path}/docs")
+        n_docs = {r.field: r["count"] for r in stored.groupBy("field").count().collect()}
+        return Segment(name, buckets, written.count(), n_docs)
+
+    def _publish(self, segments: list[Segment], obsolete: Iterable[str] = ()) -> None:
+        """The next manifest; what the one before last alone refers to goes."""
         fields = [{**asdict(f), "supplement": f.supplement.value} for f in self.schema.fields.values()]
-        meta = {"segments": self._segments, "buckets": self.buckets, "external_id": self.schema.external_id, "fields": fields, "groups": [asdict(g) for g in self.schema.groups.values()]}
-        _replace(self.spark, f"{self.base_path}/index.json", json.dumps(meta))
-
-    def _read_postings(self, segments: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(POSTINGS + ", bucket int").parquet(f"{self.base_path}/{s}/postings") for s in segments]
-        return reduce(DataFrame.unionByName, parts)
-
-    def _open(self, segments: list[str]) -> None:
-        self._segments = list(segments)
-        if not segments:
-            return
-        last = f"{self.base_path}/{segments[-1]}"
-        self._postings = self._read_postings(segments)
-        self._df = self.spark.read.schema("field string, term string, term_num decimal(20,0), df long").parquet(f"{last}/dictionary")
-        self._docs = self.spark.read.schema("field string, doc_id long").parquet(f"{last}/docs")
+        meta = {
+            "segments": [asdict(s) for s in segments], "next": self._next, "buckets": self.buckets, "external": self._external_name, "external_id": self.schema.external_id,
+            "pipelines": self._sources, "query_pipeline": self._query_source, "fields": fields, "groups": [asdict(g) for g in self.schema.groups.values()], "obsolete": list(obsolete),
+        }
+        folders.publish_text(self.spark, _manifest(self.base_path, self._version + 1), json.dumps(meta))
+        gone, self._obsolete = self._obsolete, list(obsolete)
+        self._segments, self._version = list(segments), self._version + 1
+        for name in gone:
+            folders.delete(self.spark, f"{self.base_path}/{name}")
+        for v in _versions(self.spark, self.base_path)[:-2]:
+            folders.delete(self.spark, _manifest(self.base_path, v))
+
+    def save_schema(self) -> None:
+        """Writes fields, groups, pipelines and ratios as they are now; commits do so too."""
+        self._publish(self._segments)
+
+    def merge(self) -> DocumentIndex:
+        """All segments as one."""
+        if len(self._segments) > 1:
+            self._merge(0, len(self._segments))
+        return self
+
+    def _merge_tiers(self) -> None:
+        """Merges each run of FANOUT neighbouring segments of like size, the smallest first, till there is none."""
+        while True:
+            tiers = [(t, [i for i, _ in run]) for t, run in groupby(enumerate(self._segments), lambda x: int(log(max(x[1].rows, 1), FANOUT)))]
+            full = [(t, at) for t, at in tiers if len(at) >= FANOUT]
+            if not full:
+                return
+            _, at = min(full)
+            self._merge(at[0], at[-1] + 1)
+
+    def _merge(self, first: int, last: int) -> None:
+        old = self._segments[first:last]
+        rows = sum(s.rows for s in old)
+        most = max(old, key=lambda s: s.rows)
+        buckets = self.buckets or min(MOST_BUCKETS, max(1, round(most.buckets * rows / max(most.rows, 1))))
+        # Postings of segments don't overlap, nor do their new documents.
+        new = self._write(self._read("postings", POSTINGS, old), buckets, [*self._segments[:first], *self._segments[last:]])
+        self._publish([*self._segments[:first], new, *self._segments[last:]], [s.name for s in old])
+
+    def _read(self, table: str, schema: str, segments: list[Segment] | None = None, terms: list[Term] | None = None) -> DataFrame:
+        """A table of some segments, all by default; of some ``terms`` only, of which the buckets alone are opened."""
+        parts = []
+        for s in self._segments if segments is None else segments:
+            df = self.spark.read.schema(schema + (", bucket int" if table != "docs" else "")).parquet(f"{self.base_path}/{s.name}/{table}")
+            parts.append(df if terms is None else df.where(self._among(terms, s.buckets)))
+        names = [c.split()[0] for c in schema.split(", ")]
+        return reduce(DataFrame.unionByName, parts).select(*names) if parts else self.spark.createDataFrame([], schema)
+
+    def _among(self, terms: list[Term], buckets: int | None = None) -> Column:
+        """Whether a row is of one of the terms; conditions are plain, so that they reach the scan."""
+        out = F.lit(False)
+        for f in dict.fromkeys(f for f, _ in terms):
+            of_field = list(dict.fromkeys(t for g, t in terms if g == f))
+            if self.schema.fields[f].numeric:
+                of_field = [str(int(t)) for t in of_field if t.isascii() and t.isdigit() and len(t.lstrip("0")) <= 20]
+                hit = F.col("term_num").isin([F.lit(t).cast("decimal(20,0)") for t in of_field])
+            else:
+                hit = F.col("term").isin(of_field)
+            if not of_field:
+                continue
+            hit = (F.col("field") == f) & hit
+            if buckets is not None:
+                hit = hit & F.col("bucket").isin(sorted({bucket_number(t, buckets) for t in of_field}))
+            out = out | hit
+        return out
 
     def persist(self) -> DocumentIndex:
         """Keeps postings and dictionary in memory, spilling to disk, for many queries in one session."""
-        self._postings = self._postings.persist()
-        self._df = self._docs = None
-        self._count(self._postings)
-        self._df, self._docs = self._df.persist(), self._docs.persist()
+        self._memory = self.postings().persist()
+        self._counted = None
+        self._counted = self._count(self._memory).persist()
         return self
 
+    def unpersist(self) -> None:
+        """Gives the memory back; an index in files is read from them again."""
+        for df in (self._memory, self._counted):
+            if df is not None:
+                df.unpersist()
+        self._counted = None
+        if self.base_path:
+            self._memory = None
+
+    @staticmethod
+    def _count(postings: DataFrame) -> DataFrame:
+        return postings.groupBy(*KEYS).agg(F.count("*").alias("df"))
+
     # Access
 
     def postings(self, field: str | None = None) -> DataFrame:
-        return self._postings if field is None else self._postings.where(F.col("field") == field)
-
-    def n_docs(self) -> DataFrame:
-        """Documents with at least one term, per field."""
-        docs = self._docs if self._docs is not None else self.spark.createDataFrame([], "field string, doc_id long")
-        return docs.groupBy("field").agg(F.count("*").alias("n_docs"))
-
-    def dictionary(self, field: str | None = None) -> DataFrame:
-        """``(field, term, term_num, df, n_docs, idf, weight)``; the weight is idf / term_doc_ratio."""
-        df = self._df if self._df is not None else self.spark.createDataFrame([], "field string, term string, term_num decimal(20,0), df long")
-        if field is not None:
-            df = df.where(F.col("field") == field)
-        ratio = F.lit(1.0)
+        out = self._memory if self._memory is not None else self._read("postings", POSTINGS)
+        return out if field is None else out.where(F.col("field") == field)
+
+    def hits(self, terms: list[Term]) -> DataFrame:
+        """The postings of some terms, as ``(field, key, doc_id)``."""
+        out = self._memory.where(self._among(terms)) if self._memory is not None else self._read("postings", POSTINGS, terms=terms)
+        return out.select("field", term_key().alias("key"), "doc_id")
+
+    def n_docs(self) -> dict[str, int]:
+        """Documents with at least one term, per field: of an index in files no job, else counted once a commit."""
+        if self._n_docs is None:
+            if self._segments:
+                self._n_docs = {}
+                for s in self._segments:
+                    for f, n in s.n_docs.items():
+                        self._n_docs[f] = self._n_docs.get(f, 0) + n
+            else:
+                docs = self.postings().select("field", "doc_id").distinct()
+                self._n_docs = {r.field: r["count"] for r in docs.groupBy("field").count().collect()}
+        return self._n_docs
+
+    def _counts(self, terms: list[Term] | None = None) -> DataFrame:
+        """``(field, term, term_num, df)``."""
+        if self._memory is not None:
+            out = self._counted if self._counted is not None else self._count(self._memory if terms is None else self._memory.where(self._among(terms)))
+            return out if terms is None else out.where(self._among(terms))
+        out = self._read("dictionary", DICTIONARY, terms=terms)
+        return out.groupBy(*KEYS).agg(F.sum("df").alias("df")) if len(self._segments) > 1 else out
+
+    def dictionary(self, field: str | None = None, terms: list[Term] | None = None) -> DataFrame:
+        """``(field, term, term_num, df, n_docs, idf, weight)``, of one field or some terms if asked for; the weight is idf / term_doc_ratio."""
+        df = self._counts(terms)
+        return self.weighted(df if field is None else df.where(F.col("field") == field))
+
+    def weighted(self, counts: DataFrame) -> DataFrame:
+        """``n_docs``, ``idf`` and ``weight`` beside a table with ``field`` and ``df``."""
+        ratio, n_docs = F.lit(1.0), F.lit(None).cast("long")
         for f in self.schema.fields.values():
             if f.term_doc_ratio != 1.0:
                 ratio = F.when(F.col("field") == f.name, float(f.term_doc_ratio)).otherwise(ratio)
-        # One row a field: its size is that of the schema.
-        return df.join(F.broadcast(self.n_docs()), "field").withColumn("idf", self.idf(F.col("n_docs"), F.col("df"))).withColumn("weight", F.col("idf") / ratio)
+        for name, n in self.n_docs().items():
+            n_docs = F.when(F.col("field") == name, F.lit(n).cast("long")).otherwise(n_docs)
+        return counts.withColumn("n_docs", n_docs).withColumn("idf", self.idf(F.col("n_docs"), F.col("df"))).withColumn("weight", F.col("idf") / ratio)
+
+    def matching(self, table: str, keys: DataFrame) -> DataFrame:
+        """``keys``, with ``field`` and ``key`` among their columns, and beside them what ``table`` has of these terms: the ``doc_id`` of "postings",
+        or the ``df`` of the "dictionary" (one row a segment). Joins are by plain keys, text as text and numbers as numbers, in files by bucket first."""
+        value = "doc_id" if table == "postings" else "df"
+        if self._memory is not None:
+            sources: list[tuple[DataFrame, int | None]] = [(self._memory if table == "postings" else self._counts(), None)]
+        else:
+            schema = (POSTINGS if table == "postings" else DICTIONARY) + ", bucket int"
+            sources = [(self.spark.read.schema(schema).parquet(f"{self.base_path}/{s.name}/{table}"), s.buckets) for s in self._segments]
+        parts = []
+        for numeric, column, kind in ((False, "term", "string"), (True, "term_num", "decimal(20,0)")):
+            names = [f.name for f in self.schema.fields.values() if f.numeric == numeric]
+            for rows, buckets in sources if names else []:
+                wanted, on = keys.where(F.col("field").isin(names)).withColumn(column, F.col("key").try_cast(kind)), ["field", column]
+                if buckets is not None:
+                    wanted, on = wanted.withColumn("bucket", bucket_of(F.col("key"), buckets)), ["field", "bucket", column]
+                parts.append(rows.where(F.col("field").isin(names)).select(*on, value).join(wanted, on).select(*keys.columns, value))
+        return reduce(DataFrame.unionByName, parts) if parts else keys.withColumn(value, F.lit(None).cast("long")).where(F.lit(False))
 
     def measured_ratio(self, field: str) -> float:
         """The mean number of distinct terms a document has in a field: a value for ``term_doc_ratio``, if one is wanted."""
-        row = self._df.where(F.col("field") == field).agg(F.sum("df").alias("n")).first()
-        docs = self._docs.where(F.col("field") == field).count()
+        row = self._counts().where(F.col("field") == field).agg(F.sum("df").alias("n")).first()
+        docs = self.n_docs().get(field, 0)
         return (row.n or 0) / docs if docs else 1.0
 
     # External ids
@@ -197,14 +403,25 @@ class DocumentIndex:
 
     @external_ids.setter
     def external_ids(self, ids: DataFrame) -> None:
-        """``(doc_id, ext_id)``; ext_id may be of any type, structs included."""
+        """``(doc_id, ext_id)``; ext_id may be of any type, structs included. An index in files keeps them beside it, at once."""
         doc_id, ext_id = ids.columns
-        self._external = ids.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ext_id).alias("ext_id"))
-
-    def with_external_ids(self, results: DataFrame) -> DataFrame:
-        """Adds ``ext_id``; a document without one fails the query, as the reference ids are then incomplete."""
+        ids = ids.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ext_id).alias("ext_id"))
+        if self.base_path:
+            old, self._external_name = self._external_name, f"external-{self._next:06d}"
+            self._next += 1
+            path = f"{self.base_path}/{self._external_name}"
+            # Sorted, so that the ids of a few results are in a few row groups.
+            ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+            self._publish(self._segments, [old] if old else [])
+            ids = self.spark.read.parquet(path)
+        self._external = ids
+
+    def with_external_ids(self, results: DataFrame, of: list[int] | None = None) -> DataFrame:
+        """Adds ``ext_id``; a document without one fails the query, as the reference ids are then incomplete. ``of`` are the
+        documents of the results, where they are known and few."""
         unknown = F.raise_error(F.concat(F.lit("unknown document id "), F.col("doc_id").cast("string")))
-        known = self._external.withColumn("__known", F.lit(True))
+        ids = self._external if of is None else self._external.where(F.col("doc_id").isin(of))
+        known = ids.withColumn("__known", F.lit(True))
         out = results.join(known, "doc_id", "left")
         return out.withColumn("ext_id", F.when(F.col("__known"), F.col("ext_id")).otherwise(unknown.cast(self._external.schema["ext_id"].dataType))).drop("__known")
 
@@ -212,6 +429,7 @@ class DocumentIndex:
 
     def set_query_pipeline(self, pipeline: str | QueryPipeline | Callable[[DataFrame], DataFrame]) -> None:
         """The last one set holds."""
+        self._query_source = pipeline if isinstance(pipeline, str) else None
         if isinstance(pipeline, str):
             pipeline = QueryPipeline.parse(pipeline)
         self._query_pipeline = pipeline.check(self.schema.targets()) if isinstance(pipeline, QueryPipeline) else pipeline
@@ -243,27 +461,16 @@ class DocumentIndex:
         return frequent_terms(self, field)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def buckets_for(added: DataFrame) -> int:
+    """Buckets by the size of what is read, as the planner knows it without a job; eight if it doesn't."""
+    size = int(added._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 8 if size >= 1 << 58 else min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
 
 
-def _read(spark: SparkSession, path: str) -> str:
-    p, system = _hadoop(spark, path)
-    stream = system.open(p)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+def _manifest(base_path: str, version: int) -> str:
+    return f"{base_path}/manifest-{version:010d}.json"
 
 
-def _replace(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the file and renames, so that a reader finds the old one or the new one."""
-    new, system = _hadoop(spark, f"{path}.new")
-    stream = system.create(new, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    old, _ = _hadoop(spark, path)
-    system.delete(old, False)
-    if not system.rename(new, old):
-        raise OSError(f"can't replace {path}")
+def _versions(spark: SparkSession, base_path: str) -> list[int]:
+    found = [n for n in folders.names(spark, base_path) if n.startswith("manifest-") and n.endswith(".json")]
+    return sorted(int(n[len("manifest-") : -len(".json")]) for n in found)

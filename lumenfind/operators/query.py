@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .index import term_key
+from .index import Term, term_key
 
 if TYPE_CHECKING:
     from .index import DocumentIndex
@@ -29,10 +29,10 @@ class Query:
     hold is left out of account, unless ``strict_filters`` is set: then nothing passes it."""
 
     text: str
-    filters: tuple[tuple[str, str | int], ...] = ()
+    filters: tuple[tuple[str, object], ...] = ()
     strict_filters: bool = False
 
-    def filter_by(self, field: str, term: str | int, how: ChainingOperator = ChainingOperator.MUST) -> Query:
+    def filter_by(self, field: str, term: object, how: ChainingOperator = ChainingOperator.MUST) -> Query:
         if how is not ChainingOperator.MUST:
             raise NotImplementedError(f"filters of kind {how.value} aren't defined")
         return replace(self, filters=(*self.filters, (field, term)))
@@ -51,42 +51,43 @@ class Operand:
         return f'Querying term "{self.term}" on field "{self.field}" with weight Weight({self.weight})'
 
 
+def _tokens(index: DocumentIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, op_order, field, key)``: each token in each field that its target names."""
+    texts = queries.select("query_id", F.col("text").alias("token"))
+    pipeline = index.query_pipeline
+    tokens = pipeline.apply(texts) if hasattr(pipeline, "apply") else pipeline(texts)
+    of_target = {t: [f.name for f in index.schema.members(t)] for t in index.schema.targets()}
+    fields = F.coalesce(*(F.when(F.col("target") == t, F.array(*map(F.lit, fs))) for t, fs in of_target.items() if fs), F.array().cast("array<string>"))
+    return tokens.withColumn("field", F.explode(fields)).select("query_id", F.struct("branch", "pos", "field").alias("op_order"), "field", term_key().alias("key"))
+
+
 def operands(index: DocumentIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, op_order, field, term, df, weight)`` of queries ``(query_id, text)``: each token in each field
     that knows it. Repeated tokens stay; unknown ones and weights that aren't positive drop out. ``op_order`` is the
     order of creation: branches first, then by position, then by field name.
     """
-    texts = queries.select("query_id", F.col("text").alias("token"))
-    pipeline = index.query_pipeline
-    tokens = pipeline.apply(texts) if hasattr(pipeline, "apply") else pipeline(texts)
-    names = [(t, f.name) for t in index.schema.targets() for f in index.schema.members(t)]
-    of_target = {t: [f for x, f in names if x == t] for t, _ in names}
-    fields = F.coalesce(*(F.when(F.col("target") == t, F.array(*map(F.lit, fs))) for t, fs in of_target.items()))
-    tokens = tokens.withColumn("field", F.explode(fields)).withColumn("key", term_key())
-    known = index.dictionary().withColumn("key", term_key()).select("field", "key", "df", "weight")
-    found = tokens.join(known, ["field", "key"]).where("weight > 0 AND NOT isnan(weight)")
-    return found.select("query_id", F.struct("branch", "pos", "field").alias("op_order"), "field", F.col("key").alias("term"), "df", "weight")
+    found = index.matching("dictionary", _tokens(index, queries)).groupBy("query_id", "op_order", "field", "key").agg(F.sum("df").alias("df"))
+    return index.weighted(found).where("weight > 0 AND NOT isnan(weight)").select("query_id", "op_order", "field", F.col("key").alias("term"), "df", "weight")
+
+
+def resolve(index: DocumentIndex, query: Query) -> tuple[list[Operand], list[Term] | None]:
+    """A query's operands, by rising weight (of equal weights the later one has the higher bit), and its known filters, or None if nothing can pass.
+
+    One query is a few words: they are looked up as constants, which opens their buckets of the dictionary alone."""
+    tokens = _tokens(index, index.spark.createDataFrame([(0, query.text)], "query_id long, text string")).collect()
+    filters = [(f, str(t)) for f, t in query.filters]
+    terms = list(dict.fromkeys([*((r.field, r.key) for r in tokens), *filters]))
+    known = {(r.field, r.k): r.weight for r in index.dictionary(terms=terms).select("field", term_key().alias("k"), "weight").collect()} if terms else {}
+    found = [(w, list(r.op_order), r.field, r.key) for r in tokens if (w := known.get((r.field, r.key))) is not None and w > 0]  # NaN isn't, either
+    ops = [Operand(bit, f, t, w) for bit, (w, _, f, t) in enumerate(sorted(found, key=lambda x: x[:2]))]
+    if query.strict_filters and any(f not in known for f in filters):
+        return ops, None
+    return ops, [f for f in filters if f in known]
 
 
 def query_operands(index: DocumentIndex, query: Query) -> list[Operand]:
-    """The operands of one query, by rising weight; of equal weights the later one has the higher bit."""
-    rows = operands(index, index.spark.createDataFrame([(0, query.text)], "query_id long, text string")).collect()
-    rows.sort(key=lambda r: (r.weight, tuple(r.op_order[:1]), list(r.op_order.pos), r.op_order.field))
-    return [Operand(bit, r.field, r.term, r.weight) for bit, r in enumerate(rows)]
-
-
-def known_filters(index: DocumentIndex, query: Query) -> list[tuple[str, str]] | None:
-    """The filters whose terms exist; None if nothing can pass."""
-    wanted = [(f, str(t)) for f, t in query.filters]
-    if not wanted:
-        return []
-    match = F.lit(False)
-    for f, t in wanted:
-        match = match | ((F.col("field") == f) & (term_key() == t))
-    have = {(r.field, r.k) for r in index.dictionary().where(match).select("field", term_key().alias("k")).collect()}
-    if query.strict_filters and any(w not in have for w in wanted):
-        return None
-    return [w for w in wanted if w in have]
+    """The operands of one query, by rising weight."""
+    return resolve(index, query)[0]
 
 
 def explain(index: DocumentIndex, query: Query | str) -> DataFrame:

@@ -202,12 +202,35 @@ class QueryPipeline:
 
 
 def terms(stream: DataFrame) -> DataFrame:
-    """A stream's tokens as ``term`` (text) or ``term_num`` (numbers); the other is null."""
-    number = dict(stream.dtypes)["token"].startswith("decimal")
-    text, num = (F.lit(None).cast("string"), F.col("token")) if number else (F.col("token"), F.lit(None).cast("decimal(20,0)"))
+    """A stream's tokens as ``term_num`` (unsigned numbers) or ``term`` (all else, as text); the other is null."""
+    number = dict(stream.dtypes)["token"] == "decimal(20,0)"
+    text, num = (F.lit(None).cast("string"), F.col("token")) if number else (F.col("token").cast("string"), F.lit(None).cast("decimal(20,0)"))
     return stream.withColumn("term", text).withColumn("term_num", num)
 
 
+class Bucket:
+    """Where token streams end: subclass it and define ``put``, which gets ``(doc_id, term, term_num)`` rows."""
+
+    def put(self, stream: DataFrame) -> None:
+        raise NotImplementedError
+
+
+class Collected(Bucket):
+    """A sink that holds its streams, for tests and tables of one's own."""
+
+    def __init__(self) -> None:
+        self.streams: list[DataFrame] = []
+
+    def put(self, stream: DataFrame) -> None:
+        self.streams.append(stream)
+
+
+def run_into(pipeline: Pipeline, texts: DataFrame, bucket: Callable[[str], Bucket]) -> None:
+    """Runs a pipeline over ``(doc_id, token)`` rows; each target's stream goes to the sink that ``bucket`` gives for its name."""
+    for target, stream in run_steps(list(pipeline.steps), pipeline.field, texts):
+        bucket(target).put(terms(stream).select("doc_id", "term", "term_num"))
+
+
 #: Whole pipelines may also be plain functions of DataFrames.
-AnyPipeline = Pipeline | Callable[[DataFrame], DataFrame]
-__all__ = ["STRING", "U64", "USIZE", "AnyPipeline", "Combinator", "Pipeline", "PipelineTypeError", "QueryPipeline", "Step", "check_types", "run_steps", "terms"]
+IndexPipeline = Pipeline | Callable[[DataFrame], DataFrame]
+__all__ = ["STRING", "U64", "USIZE", "Bucket", "Collected", "Combinator", "IndexPipeline", "Pipeline", "PipelineTypeError", "QueryPipeline", "Step", "check_types", "run_into", "run_steps", "terms"]

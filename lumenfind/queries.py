@@ -5,16 +5,21 @@ The SQL is written independently where it can be: cut-offs of short queries are
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import stages as S
 from .operators.hierarchy import Hierarchy
 from .operators.index import DocumentIndex, term_key
-from .operators.query import Query
-from .operators.ranking import all_of
+from .operators.query import ChainingOperator, Query, resolve
+from .operators.ranking import all_of, rank
+from .plans.pipeline import Collected, Pipeline, run_into
 from .schema import DocumentSchema, FieldDef, FieldGroup
-from .sources import read_table
+from .sources import read_table, shared_dir
 
 TEXT = "text AlphaNumericTokenizer > LowercaseFilter"
 TEXT_QUERY = "AlphaNumericTokenizer > LowercaseFilter > [All in text]"
@@ -91,6 +96,48 @@ def pages_index(spark: SparkSession, sf_dir: str) -> DocumentIndex:
     return _kept[key]
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> DocumentIndex:
+    """An index in files: English documents in one commit, all in the next, so that the English ones come again; then loaded anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, "stored")
+    if key not in _kept:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index = DocumentIndex.create(spark, DocumentSchema.of(FieldDef("text"), FieldDef("number", "u64", no_pipe=True, filter=True), external_id="struct"), path)
+        index.set_pipeline(NUMBERED)
+        index.set_query_pipeline(NUMBERED_QUERY)
+        documents = read_table(spark, sf_dir, "documents")
+        for part in (documents.where("lang = 'en'"), documents):
+            index.add_documents(part, {"text": "text"})
+            index.commit()
+        index.external_ids = documents.select("doc_id", F.struct("source", "lang").alias("ext_id")).dropDuplicates(["doc_id"])
+        _kept[key] = DocumentIndex.load(spark, path)
+    return _kept[key]
+
+
+def lines_index(spark: SparkSession, sf_dir: str) -> DocumentIndex:
+    """A field filled by a function instead of a pipeline: whole lines as terms."""
+    index = DocumentIndex.create(spark, DocumentSchema.of(FieldDef("line", filter=True)))
+    index.set_pipeline(lambda texts: texts.select("doc_id", F.explode(F.split("token", "\n")).alias("term")).where("term <> ''"), "line")
+    index.add_documents(read_table(spark, sf_dir, "documents"), {"line": "text"})
+    return index.commit()
+
+
+@dataclass(frozen=True)
+class Prefix(S.Stage):
+    """A stage of one's own: the first ``length`` characters of each token."""
+
+    takes = (S.STR, S.STRING)
+    emits = S.STRING
+    length: int = 4
+
+    def transform(self, tokens: DataFrame) -> DataFrame:
+        return tokens.withColumn("token", F.substring("token", 1, int(self.length)))
+
+
+def prefix_index(spark: SparkSession, sf_dir: str) -> DocumentIndex:
+    S.STAGES.setdefault("Prefix", Prefix)
+    return _index(spark, sf_dir, TEXT + " > Prefix(4)", "AlphaNumericTokenizer > LowercaseFilter > Prefix(4) > [All in text]")
+
+
 # Stages
 
 
@@ -209,17 +256,77 @@ def rank_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_index(spark, sf_dir).run_queries(items, 10).select("query_id", "rank", "doc_id", "step")
 
 
+def ranked_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operands and the unordered frame of results, from an index in files."""
+    index = stored_index(spark, sf_dir)
+    return rank(index, *resolve(index, Query("in the of das erver licensed")))
+
+
+def weight_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With weights that fall below zero for terms in more than a tenth of the documents, these are no operands."""
+    kept = text_index(spark, sf_dir)
+    index = DocumentIndex(spark, kept.schema, idf=lambda n, df: F.log(n / df) - F.log(F.lit(10.0)))
+    index._memory, index._counted, index._n_docs = kept._memory, kept._counted, kept._n_docs
+    index.set_query_pipeline(TEXT_QUERY)
+    return _ranked(index, "the of licensed in token")
+
+
+def custom_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(prefix_index(spark, sf_dir), "licensed tokens of")
+
+
+def custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of a pipeline's targets in sinks of one's own."""
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("token"))
+    sinks = {"text": Collected(), "number": Collected()}
+    run_into(Pipeline.parse(NUMBERED), texts, sinks.__getitem__)
+    rows = [s.select(F.lit(name).alias("field"), term_key().alias("term")) for name, sink in sinks.items() for s in sink.streams]
+    return rows[0].union(rows[1]).groupBy("field", "term").agg(F.count("*").alias("n"))
+
+
+def stored_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_index(spark, sf_dir).run_query("the 18 of 555 license").select("doc_id", "step", "ext_id.source", "ext_id.lang")
+
+
+def stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_index(spark, sf_dir).run_query("in the of", 10).select("rank", "doc_id", "step", "ext_id.source")
+
+
+def stored_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_index(spark, sf_dir).dictionary().select("field", term_key().alias("term"), "df", "n_docs")
+
+
+def stored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return stored_index(spark, sf_dir).run_queries(items, 3).select("query_id", "rank", "doc_id")
+
+
+def stored_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_index(spark, sf_dir).run_query(Query("the of in").filter_by("number", 555)).select("doc_id", "step")
+
+
+def function_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_index(spark, sf_dir).frequent_terms("line")
+
+
+def date_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of dates: facets, ties by date."""
+    index = DocumentIndex.create(spark, DocumentSchema.of(FieldDef("day", "date", no_pipe=True, filter=True)))
+    index.put("day", read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("term")))
+    return index.commit().frequent_terms("day")
+
+
 def and_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_of(text_index(spark, sf_dir).postings(), [("text", "the"), ("text", "of"), ("text", "licensed")])
+    return all_of(text_index(spark, sf_dir), [("text", "the"), ("text", "of"), ("text", "licensed")])
 
 
 def and_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document from id 100 on that holds both terms."""
-    return all_of(text_index(spark, sf_dir).postings(), [("text", "the"), ("text", "of")], start=100, limit=1)
+    return all_of(text_index(spark, sf_dir), [("text", "the"), ("text", "of")], start=100, limit=1)
 
 
 def filter_must(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(numbered_index(spark, sf_dir), Query("the of in").filter_by("number", 555))
+    return _ranked(numbered_index(spark, sf_dir), Query("the of in").filter_by("number", 555, ChainingOperator.MUST))
 
 
 def filter_two(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +349,12 @@ def explain_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_index(spark, sf_dir).explain_query("the 555 of the zzzz 18").select("bit", "field", "term", F.round("weight", 6).alias("weight"))
 
 
+def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operands' own text, up to the weight, which is beside it."""
+    rows = numbered_index(spark, sf_dir).explain_query("the 555 of the zzzz 18")
+    return rows.select("bit", F.regexp_extract("description", r"^(.*Weight\()\d+\.\d+\)$", 1).alias("description"), F.round("weight", 6).alias("weight"))
+
+
 # Facets and hierarchies
 
 
@@ -262,8 +375,10 @@ def hierarchy_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children of each root, asked for one root after the other."""
     h = _geography(spark, sf_dir)
-    return h.edges.where("parent IS NOT NULL").select("parent", "ord", "term")
+    parts = [h.get_child_terms(r.term).select(F.lit(r.term).alias("parent"), "ord", "term") for r in h.get_root_terms().collect()]
+    return reduce(DataFrame.union, parts)
 
 
 PART_QUERY = "small steel brand 13 large"
@@ -272,7 +387,8 @@ _ALL = (
     tok_whitespace, tok_alnum, tok_again, lowercase_vocab, stopwords, debugger, number_filter_numbers, number_filter_strings, to_usize, stem_vocab,
     postings, term_df, idf_weights, term_enumeration, rank_single, rank_multi, rank_duplicate_term, rank_unknown_term, rank_cutoff, rank_topk, rank_long,
     rank_number_branch, rank_fields_group, rank_stemmed, rank_batch, and_all_terms, and_seek, filter_must, filter_two, filter_unknown_ignored,
-    filter_only_query, external_ids, explain_operands, frequent_terms, hierarchy_roots, hierarchy_children,
+    filter_only_query, external_ids, explain_operands, explain_text, frequent_terms, hierarchy_roots, hierarchy_children, ranked_frame, weight_guard, custom_stage,
+    custom_sink, stored_rank, stored_topk, stored_dictionary, stored_batch, stored_filter, function_pipeline, date_terms,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -295,13 +411,14 @@ _TEXT_POST = f"SELECT DISTINCT 'text' AS field, t, doc_id FROM ({_toks(lower=Tru
 _NUM_POST = f"""SELECT DISTINCT CASE WHEN {_IS_U64.format(t="t")} THEN 'number' ELSE 'text' END AS field,
   CASE WHEN {_IS_U64.format(t="t")} THEN {_U64.format(t="t")}::VARCHAR ELSE lower(t) END AS t, doc_id FROM ({_toks()})"""
 _PART_POST = " UNION ".join(f"SELECT DISTINCT '{f}' AS field, t, doc_id FROM ({_toks('part', 'p_partkey', f'p_{f}', lower=True)})" for f in ("name", "type", "brand"))
+_PREFIX_POST = f"SELECT DISTINCT 'text' AS field, substr(t, 1, 4) AS t, doc_id FROM ({_toks(lower=True)})"
 _PAGE_POST = f"SELECT DISTINCT 'text' AS field, t, doc_id FROM ({_toks('pages', 'page_id', 'html', lower=True)})"
 
 
-def _base(post: str, number_ratio: float = 1.0) -> str:
+def _base(post: str, number_ratio: float = 1.0, idf: str = "ln(1 + n_docs / df)") -> str:
     return f"""post AS ({post}),
 n AS (SELECT field, count(DISTINCT doc_id) AS n_docs FROM post GROUP BY field),
-dict AS (SELECT field, t, df, n_docs, ln(1 + n_docs / df) AS idf, ln(1 + n_docs / df) / CASE WHEN field = 'number' THEN {number_ratio} ELSE 1.0 END AS w
+dict AS (SELECT field, t, df, n_docs, {idf} AS idf, {idf} / CASE WHEN field = 'number' THEN {number_ratio} ELSE 1.0 END AS w
   FROM (SELECT field, t, count(*) AS df FROM post GROUP BY field, t) JOIN n USING (field))"""
 
 
@@ -309,18 +426,18 @@ def _ops(words: list[tuple[str, list[str]]]) -> str:
     """Operands of a query's words, each with the fields it is looked up in, in the order of creation."""
     rows = ", ".join(f"({i}, '{f}', '{t}')" for i, (t, fs) in enumerate(words) for f in fs)
     return f"""q(pos, field, t) AS (VALUES {rows}),
-op AS (SELECT (row_number() OVER (ORDER BY w, pos, field) - 1)::INTEGER AS bit, field, t, w FROM q JOIN dict USING (field, t)),
+op AS (SELECT (row_number() OVER (ORDER BY w, pos, field) - 1)::INTEGER AS bit, field, t, w FROM q JOIN dict USING (field, t) WHERE w > 0),
 tot AS (SELECT coalesce(sum(w), 0) AS s, count(*)::INTEGER AS n FROM op)"""
 
 
-def _rank_sql(post: str, words: list[tuple[str, list[str]]], filters: tuple[str, ...] = (), ratio: float = 1.0, select: str = "SELECT doc_id, step FROM ranked") -> str:
+def _rank_sql(post: str, words: list[tuple[str, list[str]]], filters: tuple[str, ...] = (), ratio: float = 1.0, select: str = "SELECT doc_id, step FROM ranked", **base) -> str:
     # A filter on an unknown term is left out of account.
     passing = "".join(f" AND (NOT EXISTS (SELECT 1 FROM post WHERE {f}) OR doc_id IN (SELECT doc_id FROM post WHERE {f}))" for f in filters)
-    return f"""WITH {_base(post, ratio)}, {_ops(words)},
+    return f"""WITH {_base(post, ratio, **base)}, {_ops(words)},
 c AS (SELECT unnest(range(1, (1::BIGINT << n))) AS c FROM tot),
 cut AS (SELECT min(c) AS cut FROM (SELECT c, coalesce(sum(w), 0) AS a FROM c LEFT JOIN op ON (c.c >> op.bit) & 1 = 0 GROUP BY c), tot WHERE a < 0.01 * s),
 held AS (SELECT doc_id, bit_or(1::BIGINT << bit) AS m FROM post JOIN op USING (field, t) WHERE TRUE{passing} GROUP BY doc_id),
-ranked AS (SELECT doc_id, ((1::BIGINT << n) - 1) & ~m AS step FROM held, tot, cut WHERE (((1::BIGINT << n) - 1) & ~m) < cut)
+ranked AS (SELECT doc_id, lpad(bin(((1::BIGINT << n) - 1) & ~m), n, '0') AS step FROM held, tot, cut WHERE (((1::BIGINT << n) - 1) & ~m) < cut)
 {select}"""
 
 
@@ -353,6 +470,10 @@ ranked AS (SELECT k.query_id, k.doc_id, k.step, row_number() OVER (PARTITION BY
 
 _BENCH_Q = r"""SELECT query_id, pos, t FROM (SELECT query_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos
   FROM (SELECT item_id AS query_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS l FROM benchmark)) WHERE t <> ''"""
+# Branches come before the final target; a word is of one of the fields.
+_BENCH_NUM_Q = rf"""SELECT query_id, CASE WHEN {_IS_U64.format(t="w")} THEN pos ELSE pos + 1000000 END AS pos, CASE WHEN {_IS_U64.format(t="w")} THEN {_U64.format(t="w")}::VARCHAR ELSE lower(w) END AS t
+  FROM (SELECT query_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos
+  FROM (SELECT item_id AS query_id, regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+') AS l FROM benchmark)) WHERE w <> ''"""
 _LONG_Q = "SELECT 0 AS query_id, * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(LONG_QUERY.split())) + ") v(pos, t)"
 _GEO = "SELECT n_name AS term, r_name AS parent, n_nationkey + 1000 AS ord FROM nation JOIN region ON n_regionkey = r_regionkey"
 
@@ -385,9 +506,25 @@ ORACLE_SQL = {
     "filter_must": _rank_sql(_NUM_POST, _w("the of in"), ("field = 'number' AND t = '555'",)),
     "filter_two": _rank_sql(_NUM_POST, _w("the in"), ("field = 'text' AND t = 'of'", "field = 'text' AND t = 'token'")),
     "filter_unknown_ignored": _rank_sql(_NUM_POST, _w("the in")),
-    "filter_only_query": f"SELECT doc_id, 0::BIGINT AS step FROM ({_NUM_POST}) WHERE field = 'text' AND t = 'of'",
+    "filter_only_query": f"SELECT doc_id, '' AS step FROM ({_NUM_POST}) WHERE field = 'text' AND t = 'of'",
     "external_ids": _rank_sql(_PAGE_POST, _w("article the nav"), select="SELECT url AS ext_id, step, doc_id FROM ranked JOIN pages ON doc_id = page_id"),
     "explain_operands": f"WITH {_base(_NUM_POST)}, {_ops(_numbered('the 555 of the zzzz 18'))} SELECT bit, field, t AS term, round(w, 6) AS weight FROM op",
+    "explain_text": f"""WITH {_base(_NUM_POST)}, {_ops(_numbered('the 555 of the zzzz 18'))}
+SELECT bit, 'Querying term "' || t || '" on field "' || field || '" with weight Weight(' AS description, round(w, 6) AS weight FROM op""",
+    "ranked_frame": _rank_sql(_NUM_POST, _numbered("in the of das erver licensed")),
+    "weight_guard": _rank_sql(_TEXT_POST, _w("the of licensed in token"), idf="(ln(n_docs / df) - ln(10))"),
+    "custom_stage": _rank_sql(_PREFIX_POST, [(w[:4], ["text"]) for w in ("licensed", "tokens", "of")]),
+    "custom_sink": f"""SELECT CASE WHEN {_IS_U64.format(t="t")} THEN 'number' ELSE 'text' END AS field,
+  CASE WHEN {_IS_U64.format(t="t")} THEN {_U64.format(t="t")}::VARCHAR ELSE lower(t) END AS term, count(*) AS n FROM ({_toks()}) GROUP BY 1, 2""",
+    "stored_rank": _rank_sql(_NUM_POST, _numbered("the 18 of 555 license"), select="SELECT doc_id, step, source, lang FROM ranked JOIN documents USING (doc_id)"),
+    "stored_topk": _rank_sql(
+        _NUM_POST, _w("in the of"), select="SELECT row_number() OVER (ORDER BY step, doc_id)::INTEGER AS rank, doc_id, step, source FROM ranked JOIN documents USING (doc_id) ORDER BY step, doc_id LIMIT 10"
+    ),
+    "stored_dictionary": f"WITH {_base(_NUM_POST)} SELECT field, t AS term, df, n_docs FROM dict",
+    "stored_batch": _many_sql(_NUM_POST, _BENCH_NUM_Q, "SELECT query_id, rank, doc_id FROM ranked WHERE rank <= 3"),
+    "stored_filter": _rank_sql(_NUM_POST, _w("the of in"), ("field = 'number' AND t = '555'",)),
+    "function_pipeline": "SELECT count(DISTINCT doc_id) AS df, t AS term FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE t <> '' GROUP BY t",
+    "date_terms": "SELECT count(DISTINCT o_orderkey) AS df, o_orderdate::DATE::VARCHAR AS term FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 2",
     "frequent_terms": "SELECT count(DISTINCT p_partkey) AS df, p_size::VARCHAR AS term FROM part GROUP BY p_size",
     "hierarchy_roots": "SELECT r_regionkey::BIGINT AS ord, r_name AS term FROM region",
     "hierarchy_children": f"SELECT parent, ord::BIGINT AS ord, term FROM ({_GEO})",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .operators.stages import STRING, U64, USIZE
 
 
@@ -16,6 +20,10 @@ class Supplement(Enum):
     HIERARCHY = "hierarchy"
 
 
+#: Term types besides text and unsigned numbers: any flat type of Spark that has a text form and an order.
+OTHER_TYPES = re.compile(r"date|timestamp|boolean|tinyint|smallint|int|bigint|float|double|decimal\(\d+,\d+\)")
+
+
 @dataclass(frozen=True)
 class FieldDef:
     """A field: an inverted index over terms of one type. ``term_doc_ratio`` divides its terms' weights."""
@@ -29,7 +37,7 @@ class FieldDef:
     group: str | None = None
 
     def __post_init__(self) -> None:
-        if self.type not in (STRING, U64, USIZE):
+        if self.type not in (STRING, U64, USIZE) and not OTHER_TYPES.fullmatch(self.type):
             raise ValueError(f"field {self.name}: no such term type: {self.type}")
         if not self.term_doc_ratio > 0:
             raise ValueError(f"field {self.name}: term_doc_ratio must be positive")
@@ -38,7 +46,18 @@ class FieldDef:
 
     @property
     def numeric(self) -> bool:
-        return self.type != STRING
+        """Whether terms are stored as unsigned numbers; all others are stored as text."""
+        return self.type in (U64, USIZE)
+
+    def encode(self, term: Column) -> tuple[Column, Column]:
+        """A term of the field's type as its stored text and number, one of which is null."""
+        if self.numeric:
+            return F.lit(None).cast("string"), term.cast("decimal(20,0)")
+        return (term if self.type == STRING else term.cast(self.type)).cast("string"), F.lit(None).cast("decimal(20,0)")
+
+    def decode(self, key: Column) -> Column:
+        """A stored term's text as a value of the field's type, by which terms order."""
+        return key if self.type == STRING else key.cast("decimal(20,0)" if self.numeric else self.type)
 
 
 @dataclass(frozen=True)

@@ -31,8 +31,8 @@ POSTINGS = "field string, term string, term_num decimal(20,0), doc_id long"
 DICTIONARY = "field string, term string, term_num decimal(20,0), df long"
 DOCS = "field string, doc_id long"
 KEYS = ["field", "term", "term_num"]
-#: Bytes of documents for each bucket of a segment, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 1 << 14
+#: Bytes of documents for each bucket of a segment, the most buckets, and the bytes up to which a commit is small.
+BUCKET_BYTES, MOST_BUCKETS, SMALL_BYTES = 256 << 20, 1 << 14, 1 << 30
 #: Neighbouring segments of like size that merge, each up to this many times as large as another.
 FANOUT = 8
 
@@ -157,6 +157,7 @@ class DocumentIndex:
 
     def add_documents(self, docs: DataFrame, columns: dict[str, str], doc_id: str = "doc_id") -> None:
         """Runs the pipelines of the fields named in ``columns`` (field to text column) over ``docs``. Null texts give no terms."""
+        docs = over_all_cores(docs.select(doc_id, *dict.fromkeys(columns.values())))
         for name, column in columns.items():
             texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("token"))
             pipeline = self.pipelines[name]
@@ -216,8 +217,10 @@ class DocumentIndex:
         path = f"{self.base_path}/{name}"
 
         def store(rows: DataFrame, table: str, *order: str) -> None:
-            # Partitions by bucket, of which adaptive execution splits the large and joins the small ones.
-            rows = rows.hint("rebalance", F.col("field"), F.col("bucket")).sortWithinPartitions("field", "bucket", *order)
+            # Partitions by bucket. Of large ones adaptive execution makes as many tasks as their bytes ask for; where all is small it
+            # would make too few to use all cores, and buckets alone are enough.
+            by = (F.col("field"), F.col("bucket"))
+            rows = (rows.hint("rebalance", *by) if buckets > 8 else rows.repartition(*by)).sortWithinPartitions("field", "bucket", *order)
             rows.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/{table}")
 
         store(new.select("field", "term", "term_num", "doc_id", bucket_of(term_key(), buckets)), "postings", "term", "term_num", "doc_id")
@@ -463,8 +466,22 @@ class DocumentIndex:
 
 def buckets_for(added: DataFrame) -> int:
     """Buckets by the size of what is read, as the planner knows it without a job; eight if it doesn't."""
-    size = int(added._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 8 if size >= 1 << 58 else min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    size = bytes_of(added)
+    if size is None:
+        return 8
+    return 1 if size < 1 << 20 else 8 if size <= 8 * BUCKET_BYTES else min(MOST_BUCKETS, -(-size // BUCKET_BYTES))
+
+
+def bytes_of(df: DataFrame) -> int | None:
+    """What the planner takes a table's size for, without a job; None if it has no idea."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 58 else None
+
+
+def over_all_cores(docs: DataFrame) -> DataFrame:
+    """A small table may be a file that one task reads: then it is dealt to all cores before the work begins. A large one stays where it is."""
+    size = bytes_of(docs)
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size is not None and 1 << 20 <= size <= SMALL_BYTES else docs
 
 
 def _manifest(base_path: str, version: int) -> str:

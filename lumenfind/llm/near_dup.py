@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def list_masks(at: np.ndarray, first: np.ndarray, size: np.ndarray, k: int, leas
     """In which lists documents enter their shared values: two boolean tables, of a row a value and a column a size 1 to k.
 
     ``at`` are the places (from 1) of each document's shared values in its sketch, the rarest value first (by the number of documents that
-    retain it, then by value); values that it alone has are rarer than all. ``first`` parts documents, ``size`` is their sketches' length.
+    retain it, then by value); values that it alone has are rarer than all. ``first`` parts documents, ``size`` is the length of each value's sketch.
 
     Let T be the greatest of the k least values of the union of two sketches, a and b the number of values up to T in either, o the
     number that they share: a + b - o is k, or the whole union if that is smaller, and the estimate passes if o >= least (a + b - o). Let
@@ -93,8 +94,8 @@ def list_masks(at: np.ndarray, first: np.ndarray, size: np.ndarray, k: int, leas
     meets at some value and size. In documents of like size that share boilerplate of half their words or less, it doesn't.
     """
     sizes = np.arange(1, k + 1)
-    row = np.repeat(np.arange(len(size)), np.diff(first))
-    s = size[row][:, None]
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    s = size[:, None]
     within = at[:, None] <= sizes
     total = np.concatenate([np.zeros((1, k), np.int32), np.cumsum(within, axis=0, dtype=np.int32)])
     # The rank by rarity among a document's first a values, itself included; it rises with a.
@@ -114,29 +115,59 @@ def list_masks(at: np.ndarray, first: np.ndarray, size: np.ndarray, k: int, leas
 
 
 def _entries(shared: DataFrame, k: int, least: float) -> DataFrame:
-    """``(doc, value, level, large, small)``: the lists that each document enters, with the sizes, as bits, at which it is the larger or smaller side."""
+    """``(doc, value, level, large, small)``: the lists that each document enters, with the sizes, as bits, at which it is the larger or smaller side.
+
+    ``shared`` has ``(doc, size, at, value, freq)``. An id with several texts has the values of several sketches: each ranks before no more of the others
+    than it does in its own, so that it enters every list that it would enter for one text. An id with very many is
+    taken in parts, and enters all their lists, on either side at every size."""
 
     def bits(table: np.ndarray) -> np.ndarray:
         full = np.zeros((len(table), -(-k // LEVEL) * LEVEL), bool)
         full[:, :k] = table
         return (full.reshape(len(table), -1, LEVEL) << np.arange(LEVEL)).sum(2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                first = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
-                values = batch.column(2).flatten()
-                large, small = list_masks(values.field("at").to_numpy().astype(np.int64), first, batch.column(1).to_numpy().astype(np.int64), k, least)
-                large, small = bits(large), bits(small)
-                at, level = np.nonzero(large | small)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[at])), values.field("value").take(pa.array(at)), pa.array(level, pa.int16()), pa.array(large[at, level], pa.int16()), pa.array(small[at, level], pa.int16())],
-                    names=["doc", "value", "level", "large", "small"],
-                )
+    def entries(rows: pa.Table, part: bool) -> pa.RecordBatch:
+        """Of whole documents in order; the first is ``part`` of one with very many values."""
+        docs, size, at, value = rows.column(0).combine_chunks(), *(rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+        new = np.ones(len(at), bool)
+        new[1:] = pc.not_equal(docs[1:], docs[:-1]).to_numpy(zero_copy_only=False)
+        row = np.cumsum(new) - 1
+        fresh = new.copy()
+        fresh[1:] |= (value[1:] != value[:-1]) | (at[1:] != at[:-1]) | (size[1:] != size[:-1])
+        docs, size, at, value, row = docs.filter(pa.array(fresh)), size[fresh], at[fresh], value[fresh], row[fresh]
+        first = np.concatenate([[0], np.cumsum(np.bincount(row))])
+        large, small = list_masks(at, first, size, k, least)
+        if part:
+            large[: first[1]] = small[: first[1]] = True
+        large, small = bits(large), bits(small)
+        i, level = np.nonzero(large | small)
+        return pa.RecordBatch.from_arrays(
+            [docs.take(pa.array(i)), pa.array(value[i]), pa.array(level, pa.int16()), pa.array(large[i, level], pa.int16()), pa.array(small[i, level], pa.int16())],
+            names=["doc", "value", "level", "large", "small"],
+        )
 
-    return shared.select("doc", "size", "shared").mapInArrow(run, f"doc {_kind(shared, 'doc')}, value long, level short, large short, small short")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, known = None, None  # ``known``: a document of which parts have gone before
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            docs = rows.column(0)
+            part = known is not None and known.equals(docs[0])
+            same = pc.equal(docs, docs[-1]).to_numpy()
+            cut = len(same) - int(same.sum())
+            # All but the last document are whole.
+            if cut:
+                yield entries(rows.slice(0, cut), part)
+                known = None
+            rest = rows.slice(cut)
+            if known is not None or len(rest) > 32 * k:
+                yield entries(rest, True)
+                rest, known = None, docs[-1]
+        if rest is not None:
+            yield entries(rest, False)
+
+    rows = shared.select("doc", "size", "at", "value", "freq").repartition("doc").sortWithinPartitions("doc", "freq", "value", "at", "size")
+    return rows.select("doc", "size", "at", "value").mapInArrow(run, f"doc {_kind(shared, 'doc')}, value long, level short, large short, small short")
 
 
 def _passing(pairs: DataFrame, table: DataFrame, column: str, least: float, k: int | None) -> DataFrame:
@@ -194,10 +225,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
     # frequency, so it takes the place of others. A document's shared values are k at most.
     one = base.join(copies.select("doc_id", "print"), ["doc_id", "print"], "left_anti").select(F.col("doc_id").alias("doc"), "sketch")
     places = one.select("doc", F.size("sketch").cast("short").alias("size"), F.posexplode("sketch").alias("at", "value"))
-    retained = places.withColumn("freq", F.count("*").over(Window.partitionBy("value"))).where("freq > 1")
-    listed = F.sort_array(F.collect_set(F.struct("freq", "value", (F.col("at") + 1).cast("short").alias("at")))).alias("shared")
-    lists = _entries(retained.groupBy("doc", "size").agg(listed), k, least)
-    lists = s.keep(lists.withColumn("leader", F.min("doc").over(Window.partitionBy("value", "level"))), "lists")
+    retained = places.withColumn("freq", F.count("*").over(Window.partitionBy("value"))).where("freq > 1").withColumn("at", (F.col("at") + 1).cast("short"))
+    # A list in which none is the larger side, or none the smaller, has no pair to give.
+    of_list = Window.partitionBy("value", "level")
+    lists = _entries(retained, k, least).withColumn("leader", F.min("doc").over(of_list))
+    lists = lists.withColumn("larger", F.max("large").over(of_list)).withColumn("smaller", F.max("small").over(of_list)).where("larger > 0 AND smaller > 0")
+    lists = s.keep(lists.drop("larger", "smaller"), "lists")
 
     # First round: each document and the leader that most of its lists have, of ties the least.
     votes = lists.where("doc <> leader").groupBy("doc", "leader").agg((-F.count("*")).alias("n"))
@@ -214,7 +247,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
     roots = s.keep(connected_components(verified, s), "roots")
 
     # Second round: the larger and the smaller sides that lists hold of different groups. The list's largest group meets the others but not itself.
-    of_list = Window.partitionBy("value", "level")
     grouped = lists.drop("leader").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     mixed = grouped.withColumn("lo", F.min("root").over(of_list)).withColumn("hi", F.max("root").over(of_list)).where("lo <> hi").drop("lo", "hi")
     mixed = mixed.withColumn("n", F.count("*").over(Window.partitionBy("value", "level", "root")))

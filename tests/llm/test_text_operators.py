@@ -90,7 +90,7 @@ def test_every_pair_that_passes_meets_in_a_list():
         freq = Counter(v for x in sketches for v in x)
         shared = [sorted((freq[v], v, i + 1) for i, v in enumerate(x) if freq[v] > 1) for x in sketches]
         first = np.concatenate([[0], np.cumsum([len(x) for x in shared])])
-        large, small = near_dup.list_masks(np.array([i for x in shared for *_, i in x], np.int64), first, np.array([len(x) for x in sketches]), k, least)
+        large, small = near_dup.list_masks(np.array([i for x in shared for *_, i in x], np.int64), first, np.array([len(x) for x, y in zip(sketches, shared) for _ in y]), k, least)
         where = [{v: first[d] + n for n, (_, v, _) in enumerate(x)} for d, x in enumerate(shared)]
         for a in range(len(docs)):
             for b in range(a):
@@ -111,7 +111,7 @@ def test_pages_of_one_template_do_not_meet(spark):
         freq = Counter(v for x in sketches for v in x)
         shared = [sorted((freq[v], v, i + 1) for i, v in enumerate(x) if freq[v] > 1) for x in sketches]
         first = np.concatenate([[0], np.cumsum([len(x) for x in shared])])
-        large, small = near_dup.list_masks(np.array([i for x in shared for *_, i in x], np.int64), first, np.array([len(x) for x in sketches]), 64, 0.4)
+        large, small = near_dup.list_masks(np.array([i for x in shared for *_, i in x], np.int64), first, np.array([len(x) for x, y in zip(sketches, shared) for _ in y]), 64, 0.4)
         where = [{v: first[d] + k for k, (_, v, _) in enumerate(x)} for d, x in enumerate(shared)]
         met = sum(any(((large[where[a][v]] & small[where[b][v]]) | (small[where[a][v]] & large[where[b][v]])).any() for v in where[a].keys() & where[b].keys()) for a in range(n) for b in range(a))
         counts.append(met / (n * (n - 1) / 2))
@@ -151,6 +151,14 @@ def test_near_duplicates_cases(spark):
     assert near_dup.near_duplicates(none).collect() == [] and near_dup.drop_near_duplicates(none).collect() == []
 
 
+def test_an_id_of_very_many_texts(spark):
+    r = random.Random(14)
+    texts = [prose(r, 40) for _ in range(300)]
+    rows = [(7, t) for t in texts] + [(100 + i, t + " more") for i, t in enumerate(texts[::10])] + [(500, prose(r, 40)), (501, prose(r, 40))]
+    got = {x.doc_id: x.group_id for x in near_dup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: 7 for i in (7, *range(100, 130))}
+
+
 def test_near_copies_of_an_ids_other_text(spark):
     r = random.Random(4)
     a, b = prose(r, 40), prose(r, 40)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +63,26 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc, grams)`` with all distinct n-gram hashes of each text, in rising order."""
+#: Ids of listed documents up to this many bytes are sent to the tasks.
+SENT_BYTES = 64 << 20
+
+
+def _sets(docs: DataFrame, n: int, listed: Broadcast | None = None) -> DataFrame:
+    """``(doc, grams)`` with all distinct n-gram hashes of each text, in rising order; with ``listed``, hashes of ids in rising order, only of
+    documents with one of these (and of a few more if hashes agree)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if listed is not None and batch.num_rows:
+                h, known = batch.column(2).to_numpy(), listed.value
+                batch = batch.filter(pa.array(np.searchsorted(known, h, side="right") > np.searchsorted(known, h, side="left")))
             for a, b in vec.slices(vec.as_strings(batch.column(1))):
                 part = batch.slice(a, b - a)
                 w = vec.words(part.column(1))
                 h, first = shingle_sets(*vec.kgrams(w.hash, w.first, n, whole=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), vec.lists(h.view(np.int64), first, pa.int64())], names=["doc", "grams"])
 
-    return docs.mapInArrow(run, f"doc {_kind(docs, 'doc')}, grams array<long>")
+    return docs.select("doc", "text", F.xxhash64("doc")).mapInArrow(run, f"doc {_kind(docs, 'doc')}, grams array<long>")
 
 
 #: Sizes that share a list of a value.
@@ -93,24 +102,31 @@ def list_masks(at: np.ndarray, first: np.ndarray, size: np.ndarray, k: int, leas
     as one that it may share as the *smaller* side of such a pair, for any b that goes with a, then every pair that passes
     meets at some value and size. In documents of like size that share boilerplate of half their words or less, it doesn't.
     """
-    sizes = np.arange(1, k + 1)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    s = size[:, None]
-    within = at[:, None] <= sizes
-    total = np.concatenate([np.zeros((1, k), np.int32), np.cumsum(within, axis=0, dtype=np.int32)])
-    # The rank by rarity among a document's first a values, itself included; it rises with a.
-    rank = sizes - (total[first[1:]] - total[first[:-1]])[row] + total[1:] - total[first[:-1]][row]
+    n, count = len(at), np.diff(first)
+    row = np.repeat(np.arange(len(count)), count)
+    large, small = np.zeros((n, k), bool), np.zeros((n, k), bool)
     need = int(np.ceil(least * k - 1e-9))
-    a = sizes[None]
-    large = within & (2 * a >= k + need) & (a <= s) & (rank <= a - need + 1)
-    b = np.maximum(at[:, None], k + need - a)
-    some = (2 * a >= k + need) & (b <= np.minimum(a, s))
-    small = some & (np.take_along_axis(rank, np.clip(b, 1, k) - 1, 1) <= k - a + 1)
-    # Two whole sets of fewer than k values together.
-    whole = np.take_along_axis(rank, s - 1, 1)
-    short = s < k
-    large |= short & (a == s) & (whole <= s - np.ceil(least * s - 1e-9) + 1)
-    small |= short & (a >= s) & (a < k) & (least * a <= s + 1e-9) & (whole <= s - np.ceil(least / (1 + least) * (a + s) - 1e-9) + 1)
+    # k values in the union: a + b >= k + need, so a is half of that at least, and b need at least.
+    at, s = at.astype(np.int16)[:, None], size.astype(np.int16)[:, None]
+    cols = np.arange(need, k + 1, dtype=np.int16)
+    within = at <= cols
+    total = np.zeros((n + 1, len(cols)), np.int16)
+    np.cumsum(within, axis=0, dtype=np.int16, out=total[1:])  # differences are small, whatever wraps
+    # The rank by rarity among a document's first a values, itself included; it rises with a.
+    rank = total[1:] - (total[first[1:]])[row] + cols
+    low = -(-(k + need) // 2)
+    a = cols[low - need :]
+    large[:, low - 1 :] = within[:, low - need :] & (a <= s) & (rank[:, low - need :] <= a - need + 1)
+    own = np.take_along_axis(rank, np.maximum(at - need, 0).astype(np.int64), 1)
+    least_b = k + need - a
+    at_b = np.where(at <= least_b, rank[:, least_b - need], own)
+    small[:, low - 1 :] = within[:, low - need :] & (least_b <= s) & (at_b <= k - a + 1)
+    # Two whole sets of fewer than k values together: all of a set are its first ones.
+    if len(short := np.flatnonzero(size < k)):
+        s, a = size[short].astype(np.int64)[:, None], np.arange(1, k + 1)
+        whole = s - (count[row] - (np.arange(n) - first[row]) - 1)[short, None]
+        large[short] |= (a == s) & (whole <= s - np.ceil(least * s - 1e-9) + 1)
+        small[short] |= (a >= s) & (a < k) & (least * a <= s + 1e-9) & (whole <= s - np.ceil(least / (1 + least) * (a + s) - 1e-9) + 1)
     return large, small
 
 
@@ -238,10 +254,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
     first = best.select(F.col("doc").alias("a"), F.col("x.leader").alias("b"))
     small = one.select("doc", "sketch")
     passing = s.keep(_passing(first, small, "sketch", least, k), "first")
-    listed = lists.select("doc").distinct()
-    # N-gram sets of the documents in lists: all that verification can ever need.
+    # N-gram sets of the documents in lists: all that verification can ever need. While their ids fit SENT_BYTES they go to the tasks that read
+    # the texts, so that no text is shuffled; else texts and ids meet in a join.
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    grams = _sets(texts.join(listed, "doc", "left_semi"), n)
+    listed = s.keep(lists.select("doc").distinct(), "listed")
+    if 8 * listed.count() <= SENT_BYTES:
+        sent = listed.select(F.xxhash64("doc").alias("h")).toArrow().column(0).to_numpy()
+        grams = _sets(texts, n, docs.sparkSession.sparkContext.broadcast(np.sort(sent.astype(np.int64))))
+    else:
+        grams = _sets(texts.join(listed, "doc", "left_semi"), n)
     grams = s.keep(grams, "grams")
     verified = s.keep(_passing(passing, grams, "grams", threshold, None), "verified-1")
     roots = s.keep(connected_components(verified, s), "roots")
@@ -261,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.55, n: int = 3, k: int
 
     edges = verified.union(more).union(copies.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
     out = s.keep(connected_components(edges, s, "all").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")), "groups")
-    s.drop("sketches", "copies", "lists", "first", "second", "grams", "verified-1", "verified-2", "roots", "mixed")
+    s.drop("sketches", "copies", "lists", "listed", "first", "second", "grams", "verified-1", "verified-2", "roots", "mixed")
     return out
 
 

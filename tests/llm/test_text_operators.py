@@ -70,8 +70,9 @@ def groups_by_force(rows, threshold):
     return {i: find(i) for i in root if size[find(i)] > 1}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_against_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed, sent", [(1, 0), (2, 64 << 20)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, seed, sent):
+    monkeypatch.setattr(near_dup, "SENT_BYTES", sent)
     rows = near_corpus(seed)
     got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(table(spark, rows), k=128, slack=0.3).collect()}
     assert got == groups_by_force(rows, 0.55)

@@ -86,7 +86,7 @@ FROM p""",
     # Groups of all pairs by exact similarity, without sketches or candidates.
     "op2_near_dup": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text <> '')),
-w AS (SELECT k, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM d),
+w AS (SELECT k, regexp_extract_all(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+') AS w FROM d),
 g AS (SELECT DISTINCT k, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
 p AS (SELECT a.k AS a, b.k AS b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),

@@ -9,28 +9,12 @@ folder takes its place.
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, as a URI or path."""
-    global _own
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="lumenfind-")
-        atexit.register(shutil.rmtree, _own, True)
-    return f"file://{_own}"
+from ..sources import shared_dir
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -1,6 +1,7 @@
 """Vectorised text kernels over Arrow string columns.
 
-Words are runs of letters and digits after lower-casing; everything else separates. All kernels work
+Words are runs of letters and digits after lower-casing; everything else separates. In scripts that are written without spaces
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) each character is a word. All kernels work
 on the bytes of a whole slice of a column at once with numpy; nothing loops over words in Python.
 Hashes depend on the content alone, never on the batch or the partition a text comes in.
 """
@@ -87,12 +88,23 @@ class Words:
     offsets: np.ndarray
 
 
+#: First bytes of punctuation, symbols and spaces beyond ASCII, and of characters that are words of their own.
+_OTHER, _UNSPACED = np.zeros(256, bool), np.zeros(256, bool)
+_OTHER[[0xC2, 0xE2, 0xE3, 0xEF, 0xF0]] = True
+_UNSPACED[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+
+
 def lowered(col: pa.Array) -> pa.Array:
     col = pc.utf8_lower(as_strings(col))
-    # Punctuation, symbols and spaces beyond ASCII separate words too; texts rarely hold any.
     data = col.buffers()[2]
-    if data is not None and np.isin(np.frombuffer(data, np.uint8), [0xC2, 0xE2, 0xE3, 0xEF, 0xF0]).any():
+    if data is None:
+        return col
+    # Texts rarely hold any of these.
+    data = np.frombuffer(data, np.uint8)
+    if _OTHER[data].any():
         col = pc.replace_substring_regex(col, r"[^\x00-\x7f\p{L}\p{M}\p{N}]+", " ")
+    if _UNSPACED[data].any():
+        col = pc.replace_substring_regex(col, r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ")
     return col
 
 

@@ -180,6 +180,7 @@ def test_lookups_open_their_buckets(spark, tmp_path):
     index.set_query_pipeline("WhitespaceTokenizer > NumberFilter | [number] > LowercaseFilter > [All in text]".replace("[number]", "[All in number]"))
     index.add_documents(spark.createDataFrame([(i, f"word{i} {i} both") for i in range(300)], "doc_id long, text string"), {"text": "text"})
     index.commit()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)  # plans are shown whole
     terms = [("text", "word7"), ("text", "both"), ("number", "007")]
     want = {"word7": bucket_number("word7", 16), "both": bucket_number("both", 16), "7": bucket_number("7", 16)}
     for df in (index.hits(terms), index.dictionary(terms=terms)):

@@ -138,19 +138,33 @@ def batch_cuts(ops: DataFrame) -> DataFrame:
     return per.select("query_id", "n", F.aggregate("ops", start, take)["key"].alias("cut"))
 
 
+def _leading(ops: DataFrame, limit: int) -> DataFrame:
+    """Of each query the heaviest operands, as far as the first one that ``limit`` documents hold. Who holds none of these ranks after all who hold
+    any, and of those there are enough: the first ``limit`` results are among the postings of these operands."""
+    heavier = Window.partitionBy("query_id").orderBy(F.desc("bit")).rowsBetween(Window.unboundedPreceding, -1)
+    return ops.withColumn("most", F.max("df").over(heavier)).where(F.col("most").isNull() | (F.col("most") < limit)).drop("most")
+
+
 def run_queries(index: DocumentIndex, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """``(query_id, doc_id, step, rank)`` of many queries ``(query_id, text)`` at once, the first ``limit`` results of each.
 
     All stays distributed: operands meet postings in joins by field and term, which Spark broadcasts or, if there are too
-    many, shuffles, splitting frequent terms; then one aggregation by query and document gathers bits. The operands themselves, a row
-    a word of the queries, are computed once; only their greatest number reaches the driver.
+    many, shuffles, splitting frequent terms; then one aggregation by query and document gathers bits. With a limit, only documents that hold
+    a leading operand go into it. The operands themselves, a row a word of the queries, are computed once; only their greatest number reaches the driver.
     """
     ops = batch_operands(index, queries).persist()
     n = (ops.agg(F.max("bit")).first()[0] or 0) + 1
     words = range(-(-n // WORD))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(WORD)).cast("int"))
     masks = ops.groupBy("query_id", "field", F.col("term").alias("key")).agg(*(F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / WORD) == j, bit)), F.lit(0).cast("long")).alias(f"w{j}") for j in words))
-    hits = index.matching("postings", masks)
+    if limit is None:
+        hits = index.matching("postings", masks)
+    else:
+        leading = _leading(ops, limit).select("query_id", "field", F.col("term").alias("key")).distinct()
+        candidates = index.matching("postings", leading).select("query_id", "doc_id").distinct()
+        # Each posting of the queries' terms once, however many queries ask for it; it meets candidates by term and document.
+        asked = index.matching("postings", masks.select("field", "key").distinct())
+        hits = candidates.join(masks, "query_id").join(asked, ["field", "key", "doc_id"])
     held = hits.groupBy("query_id", "doc_id").agg(*(F.bit_or(f"w{j}").alias(f"w{j}") for j in words))
     out = held.join(batch_cuts(ops), "query_id").select("query_id", "doc_id", _digits([F.col(f"w{j}") for j in words], F.col("n")).alias("step"), "cut")
     out = out.where("step < cut").drop("cut").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("step", "doc_id")))

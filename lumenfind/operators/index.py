@@ -23,7 +23,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.pipeline import Bucket, IndexPipeline, Pipeline, QueryPipeline, run_into
+from ..plans.pipeline import Bucket, IndexPipeline, Pipeline, QueryPipeline, run_steps, terms
 from ..schema import DocumentSchema, FieldDef, FieldGroup, Supplement
 from ..sources import folders
 
@@ -31,8 +31,12 @@ POSTINGS = "field string, term string, term_num decimal(20,0), doc_id long"
 DICTIONARY = "field string, term string, term_num decimal(20,0), df long"
 DOCS = "field string, doc_id long"
 KEYS = ["field", "term", "term_num"]
-#: Bytes of documents for each bucket of a segment, the most buckets, and the bytes up to which a commit is small.
-BUCKET_BYTES, MOST_BUCKETS, SMALL_BYTES = 256 << 20, 1 << 14, 1 << 30
+#: Bytes of documents for each bucket of a segment, the most buckets, and the bytes up to which a table is dealt to all cores.
+BUCKET_BYTES, MOST_BUCKETS, SMALL_BYTES = 256 << 20, 1 << 14, 16 << 20
+#: Bytes of texts in a task that makes postings distinct, and of documents above which tasks within buckets follow from bytes.
+TASK_BYTES, SPLIT_BYTES = 8 << 20, 64 << 20
+#: Documents that are sent to all tasks at most.
+FEW = 1_000_000
 #: Neighbouring segments of like size that merge, each up to this many times as large as another.
 FANOUT = 8
 
@@ -68,6 +72,16 @@ class Segment:
     n_docs: dict[str, int] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Added:
+    """Postings of a field, as they come from its pipeline; ``gathered`` are the same, of a document all in one of so many ``tasks`` if a pipeline made them."""
+
+    field: str
+    plain: DataFrame
+    gathered: DataFrame
+    tasks: int | None = None
+
+
 class FieldBucket(Bucket):
     """A sink for token streams: a field of an index."""
 
@@ -75,7 +89,8 @@ class FieldBucket(Bucket):
         self.index, self.name = index, name
 
     def put(self, stream: DataFrame) -> None:
-        self.index._buffer.append(stream.select(F.lit(self.name).alias("field"), "term", "term_num", F.col("doc_id").cast("long").alias("doc_id")))
+        rows = stream.select("term", "term_num", F.col("doc_id").cast("long").alias("doc_id"))
+        self.index._buffer.append(Added(self.name, rows, rows))
 
 
 class DocumentIndex:
@@ -87,12 +102,15 @@ class DocumentIndex:
 
     def __init__(self, spark: SparkSession, schema: DocumentSchema, base_path: str | None = None, buckets: int | None = None, idf: Callable[[Column, Column], Column] = default_idf):
         self.spark, self.schema, self.base_path, self.buckets, self.idf = spark, schema, base_path, buckets, idf
-        self._buffer: list[DataFrame] = []
+        self._buffer: list[Added] = []
+        self._held: list[Added] = []  # what an index without files was made of
         self._segments: list[Segment] = []
         self._version = self._next = 0
         self._obsolete: list[str] = []
-        self._memory: DataFrame | None = None  # postings that are not read from files
-        self._counted: DataFrame | None = None  # their dictionary
+        self._memory: DataFrame | None = None  # postings that are not read from files, for lookups: conditions on terms reach the texts
+        self._full: DataFrame | None = None  # the same, to be read as a whole
+        self._found: tuple[set[Term], DataFrame] | None = None  # those of the last query's terms
+        self._counted: DataFrame | None = None  # their dictionary, if they are kept
         self._n_docs: dict[str, int] | None = None
         self._external: DataFrame | None = None
         self._external_name: str | None = None
@@ -157,24 +175,32 @@ class DocumentIndex:
 
     def add_documents(self, docs: DataFrame, columns: dict[str, str], doc_id: str = "doc_id") -> None:
         """Runs the pipelines of the fields named in ``columns`` (field to text column) over ``docs``. Null texts give no terms."""
-        docs = over_all_cores(docs.select(doc_id, *dict.fromkeys(columns.values())))
+        docs = docs.select(doc_id, *dict.fromkeys(columns.values()))
+        spread, tasks = over_all_cores(docs), tasks_for(docs)
+        # A cast to what it is already would keep branches from sharing one shuffle.
+        key = F.col(doc_id) if (doc_id, docs.schema[doc_id].dataType.simpleString()) == ("doc_id", "bigint") else F.col(doc_id).cast("long").alias("doc_id")
         for name, column in columns.items():
-            texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("token"))
-            pipeline = self.pipelines[name]
-            if isinstance(pipeline, Pipeline):
-                run_into(pipeline, texts, self.bucket)
-                continue
-            out = pipeline(texts)
-            if "field" not in out.columns:
-                self.put(name, out)
-                continue
-            for f in self.schema.fields:
-                self.put(f, out.where(F.col("field") == f))
+            plain, whole = (df.select(key, F.col(column).cast("string").alias("token")) for df in (spread, docs))
+            streams = zip(self._streams(name, plain), self._streams(name, whole.repartition(tasks, "doc_id")), strict=True)
+            self._buffer += [Added(f, rows, gathered, tasks) for (f, rows), (_, gathered) in streams]
+
+    def _streams(self, name: str, texts: DataFrame) -> list[tuple[str, DataFrame]]:
+        """The postings that a field's pipeline makes of texts, with the field that they are for."""
+        pipeline = self.pipelines[name]
+        if isinstance(pipeline, Pipeline):
+            return [(f, terms(rows).select("term", "term_num", "doc_id")) for f, rows in run_steps(list(pipeline.steps), pipeline.field, texts)]
+        out = pipeline(texts)
+        if "field" not in out.columns:
+            return [(name, self._encoded(name, out))]
+        return [(f, self._encoded(f, out.where(F.col("field") == f))) for f in self.schema.fields]
+
+    def _encoded(self, field: str, rows: DataFrame) -> DataFrame:
+        text, num = self.schema.fields[field].encode(F.col("term"))
+        return rows.where("term IS NOT NULL").select(text.alias("term"), num.alias("term_num"), F.col("doc_id").cast("long").alias("doc_id"))
 
     def put(self, field: str, terms: DataFrame) -> None:
         """Adds ``(doc_id, term)`` rows to a field without a pipeline. Terms are of the field's type; null ones are left out."""
-        text, num = self.schema.fields[field].encode(F.col("term"))
-        self.bucket(field).put(terms.where("term IS NOT NULL").select("doc_id", text.alias("term"), num.alias("term_num")))
+        self.bucket(field).put(self._encoded(field, terms))
 
     def rollback(self) -> None:
         """Forgets what was added since the last commit."""
@@ -184,34 +210,31 @@ class DocumentIndex:
         """Makes what was added visible. If it fails nothing has changed, and what was added is still there to commit."""
         if not self._buffer:
             return self
-        added = reduce(DataFrame.unionByName, self._buffer)
-        new = added.where("doc_id IS NOT NULL AND (term IS NOT NULL OR term_num IS NOT NULL)").dropDuplicates(["field", "term", "term_num", "doc_id"])
         if self.base_path:
-            segments = [*self._segments, self._write(self._unknown(new), self.buckets or buckets_for(added))]
-            self._publish(segments)
+            size = bytes_of(reduce(DataFrame.unionByName, (a.plain for a in self._buffer)))
+            docs = documents_of(self._buffer).persist()
+            try:
+                again = self._read("docs", DOCS).join(docs, ["field", "doc_id"], "left_semi").persist() if self._segments else None
+                segment = self._write(distinct(self._buffer, self._read("postings", POSTINGS), again), docs if again is None else docs.join(again, ["field", "doc_id"], "left_anti"), self.buckets or buckets_for(size), size is not None and size > SPLIT_BYTES)
+            finally:
+                docs.unpersist()
+                if again is not None:
+                    again.unpersist()
+            self._publish([*self._segments, segment])
             self.unpersist()
             self._n_docs = None
         else:
-            old = self._memory
-            if old is not None:
-                new = old.unionByName(new.select(*old.columns)).dropDuplicates(["field", "term", "term_num", "doc_id"])
-            self._memory, self._counted, self._n_docs = new.select("field", "term", "term_num", "doc_id"), None, None
+            self._held += self._buffer
+            self.unpersist()
+            self._memory = reduce(DataFrame.unionByName, (valid(a) for a in self._held)).dropDuplicates(["field", "term", "term_num", "doc_id"])
+            self._full, self._n_docs = distinct(self._held), None
         self._buffer = []
         if self.base_path:
             self._merge_tiers()
         return self
 
-    def _unknown(self, new: DataFrame) -> DataFrame:
-        """Postings that no segment has. Only documents that come again can repeat any."""
-        if not self._segments:
-            return new
-        again = self._read("docs", DOCS).join(new.select("field", "doc_id").distinct(), ["field", "doc_id"], "left_semi")
-        old = self._read("postings", POSTINGS).join(again, ["field", "doc_id"], "left_semi")
-        keyed = old.select("field", term_key().alias("k"), "doc_id")
-        return new.withColumn("k", term_key()).join(keyed, ["field", "k", "doc_id"], "left_anti").drop("k")
-
-    def _write(self, new: DataFrame, buckets: int, known: list[Segment] | None = None) -> Segment:
-        """A segment of postings; ``known`` are the segments whose documents aren't new (all, by default)."""
+    def _write(self, new: DataFrame, docs: DataFrame, buckets: int, large: bool) -> Segment:
+        """A segment of postings, and of the documents that no other has."""
         name = f"segment-{self._next:06d}"
         self._next += 1
         path = f"{self.base_path}/{name}"
@@ -220,17 +243,13 @@ class DocumentIndex:
             # Partitions by bucket. Of large ones adaptive execution makes as many tasks as their bytes ask for; where all is small it
             # would make too few to use all cores, and buckets alone are enough.
             by = (F.col("field"), F.col("bucket"))
-            rows = (rows.hint("rebalance", *by) if buckets > 8 else rows.repartition(*by)).sortWithinPartitions("field", "bucket", *order)
+            rows = (rows.hint("rebalance", *by) if large or buckets > 8 else rows.repartition(*by)).sortWithinPartitions("field", "bucket", *order)
             rows.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/{table}")
 
         store(new.select("field", "term", "term_num", "doc_id", bucket_of(term_key(), buckets)), "postings", "term", "term_num", "doc_id")
         written = self.spark.read.schema(POSTINGS + ", bucket int").parquet(f"{path}/postings")
         store(written.groupBy("field", "bucket", "term", "term_num").agg(F.count("*").alias("df")), "dictionary", "term", "term_num")
-        docs = written.select("field", "doc_id").distinct()
-        known = self._segments if known is None else known
-        if known:
-            docs = docs.join(self._read("docs", DOCS, known), ["field", "doc_id"], "left_anti")
-        docs.write.mode("overwrite").partitionBy("field").parquet(f"{path}/docs")
+        docs.hint("rebalance", "field").write.mode("overwrite").partitionBy("field").parquet(f"{path}/docs")
         stored = self.spark.read.schema(DOCS).parquet(f"{path}/docs")
         n_docs = {r.field: r["count"] for r in stored.groupBy("field").count().collect()}
         return Segment(name, buckets, written.count(), n_docs)
@@ -276,7 +295,7 @@ class DocumentIndex:
         most = max(old, key=lambda s: s.rows)
         buckets = self.buckets or min(MOST_BUCKETS, max(1, round(most.buckets * rows / max(most.rows, 1))))
         # Postings of segments don't overlap, nor do their new documents.
-        new = self._write(self._read("postings", POSTINGS, old), buckets, [*self._segments[:first], *self._segments[last:]])
+        new = self._write(self._read("postings", POSTINGS, old), self._read("docs", DOCS, old), buckets, rows > SPLIT_BYTES // 16)
         self._publish([*self._segments[:first], new, *self._segments[last:]], [s.name for s in old])
 
     def _read(self, table: str, schema: str, segments: list[Segment] | None = None, terms: list[Term] | None = None) -> DataFrame:
@@ -308,19 +327,19 @@ class DocumentIndex:
 
     def persist(self) -> DocumentIndex:
         """Keeps postings and dictionary in memory, spilling to disk, for many queries in one session."""
-        self._memory = self.postings().persist()
-        self._counted = None
+        self._memory = self._full = self.postings().persist()
+        self._counted = self._found = None
         self._counted = self._count(self._memory).persist()
         return self
 
     def unpersist(self) -> None:
         """Gives the memory back; an index in files is read from them again."""
-        for df in (self._memory, self._counted):
+        for df in (self._memory, self._counted, self._found[1] if self._found else None):
             if df is not None:
                 df.unpersist()
-        self._counted = None
+        self._counted = self._found = None
         if self.base_path:
-            self._memory = None
+            self._memory = self._full = None
 
     @staticmethod
     def _count(postings: DataFrame) -> DataFrame:
@@ -329,13 +348,25 @@ class DocumentIndex:
     # Access
 
     def postings(self, field: str | None = None) -> DataFrame:
-        out = self._memory if self._memory is not None else self._read("postings", POSTINGS)
+        out = self._full if self._full is not None else self._read("postings", POSTINGS)
         return out if field is None else out.where(F.col("field") == field)
 
     def hits(self, terms: list[Term]) -> DataFrame:
         """The postings of some terms, as ``(field, key, doc_id)``."""
-        out = self._memory.where(self._among(terms)) if self._memory is not None else self._read("postings", POSTINGS, terms=terms)
-        return out.select("field", term_key().alias("key"), "doc_id")
+        return self._of(terms).select("field", term_key().alias("key"), "doc_id")
+
+    def _of(self, terms: list[Term]) -> DataFrame:
+        if self._found is not None and self._found[0].issuperset(terms):
+            return self._found[1].where(self._among(terms))
+        return self._memory.where(self._among(terms)) if self._memory is not None else self._read("postings", POSTINGS, terms=terms)
+
+    def look_up(self, terms: list[Term]) -> None:
+        """Keeps the postings of a query's terms till the next query, where else each use of them would go through all texts: without files, and not persisted."""
+        if self._memory is None or self._counted is not None or self._found is not None and self._found[0].issuperset(terms):
+            return
+        if self._found is not None:
+            self._found[1].unpersist()
+        self._found = set(terms), self._memory.where(self._among(terms)).persist()
 
     def n_docs(self) -> dict[str, int]:
         """Documents with at least one term, per field: of an index in files no job, else counted once a commit."""
@@ -346,15 +377,16 @@ class DocumentIndex:
                     for f, n in s.n_docs.items():
                         self._n_docs[f] = self._n_docs.get(f, 0) + n
             else:
-                docs = self.postings().select("field", "doc_id").distinct()
+                docs = documents_of(self._held) if self._held else self.postings().select("field", "doc_id").distinct()
                 self._n_docs = {r.field: r["count"] for r in docs.groupBy("field").count().collect()}
         return self._n_docs
 
     def _counts(self, terms: list[Term] | None = None) -> DataFrame:
         """``(field, term, term_num, df)``."""
         if self._memory is not None:
-            out = self._counted if self._counted is not None else self._count(self._memory if terms is None else self._memory.where(self._among(terms)))
-            return out if terms is None else out.where(self._among(terms))
+            if self._counted is not None:
+                return self._counted if terms is None else self._counted.where(self._among(terms))
+            return self._count(self._full if terms is None else self._of(terms))
         out = self._read("dictionary", DICTIONARY, terms=terms)
         return out.groupBy(*KEYS).agg(F.sum("df").alias("df")) if len(self._segments) > 1 else out
 
@@ -378,7 +410,7 @@ class DocumentIndex:
         or the ``df`` of the "dictionary" (one row a segment). Joins are by plain keys, text as text and numbers as numbers, in files by bucket first."""
         value = "doc_id" if table == "postings" else "df"
         if self._memory is not None:
-            sources: list[tuple[DataFrame, int | None]] = [(self._memory if table == "postings" else self._counts(), None)]
+            sources: list[tuple[DataFrame, int | None]] = [(self._full if table == "postings" else self._counts(), None)]
         else:
             schema = (POSTINGS if table == "postings" else DICTIONARY) + ", bucket int"
             sources = [(self.spark.read.schema(schema).parquet(f"{self.base_path}/{s.name}/{table}"), s.buckets) for s in self._segments]
@@ -464,9 +496,47 @@ class DocumentIndex:
         return frequent_terms(self, field)
 
 
-def buckets_for(added: DataFrame) -> int:
+def valid(added: Added, gathered: bool = False) -> DataFrame:
+    rows = added.gathered if gathered else added.plain
+    return rows.where("doc_id IS NOT NULL AND (term IS NOT NULL OR term_num IS NOT NULL)").select(F.lit(added.field).alias("field"), "term", "term_num", "doc_id")
+
+
+def documents_of(added: list[Added]) -> DataFrame:
+    """``(field, doc_id)`` of documents with a term. No posting is made distinct for it."""
+    return reduce(DataFrame.unionByName, (valid(a).select("field", "doc_id") for a in added)).distinct()
+
+
+def distinct(added: list[Added], old: DataFrame | None = None, again: DataFrame | None = None) -> DataFrame:
+    """Postings, each once, without those that ``old`` has of the documents in ``again``; no other document can repeat any. They meet by term and document, for
+    which texts were dealt out by document: what a single pipeline makes for a field isn't shuffled again, and its old postings come to where it is."""
+    parts, few = [], 0 if again is None else again.count()
+    keys = ["field", "term", "term_num", "doc_id"]
+    for name in dict.fromkeys(a.field for a in added):
+        of_field = [a for a in added if a.field == name]
+        rows = reduce(DataFrame.unionByName, (valid(a, True) for a in of_field))
+        if not few:
+            parts.append(rows.dropDuplicates(keys))
+            continue
+        own, ids = old.where(F.col("field") == name).select(*keys), again.where(F.col("field") == name).select("doc_id")
+        to = (of_field[0].tasks or tasks_for(rows), "doc_id")
+        own = own.join(F.broadcast(ids), "doc_id", "left_semi").repartition(*to) if few <= FEW else own.repartition(*to).join(ids, "doc_id", "left_semi")
+        both = rows.withColumn("old", F.lit(0)).unionByName(own.withColumn("old", F.lit(1)))
+        parts.append(both.groupBy(*keys).agg(F.max("old").alias("old")).where("old = 0").drop("old"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tasks_for(texts: DataFrame) -> int:
+    """Tasks that make postings distinct, each of few enough to hold in memory."""
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-(bytes_of(texts) or 0) // TASK_BYTES))
+
+
+def by_document(texts: DataFrame) -> DataFrame:
+    """All rows of a document in one task, as many tasks as the texts ask for."""
+    return texts.repartition(tasks_for(texts), "doc_id")
+
+
+def buckets_for(size: int | None) -> int:
     """Buckets by the size of what is read, as the planner knows it without a job; eight if it doesn't."""
-    size = bytes_of(added)
     if size is None:
         return 8
     return 1 if size < 1 << 20 else 8 if size <= 8 * BUCKET_BYTES else min(MOST_BUCKETS, -(-size // BUCKET_BYTES))

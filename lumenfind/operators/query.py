@@ -77,6 +77,7 @@ def resolve(index: DocumentIndex, query: Query) -> tuple[list[Operand], list[Ter
     tokens = _tokens(index, index.spark.createDataFrame([(0, query.text)], "query_id long, text string")).collect()
     filters = [(f, str(t)) for f, t in query.filters]
     terms = list(dict.fromkeys([*((r.field, r.key) for r in tokens), *filters]))
+    index.look_up(terms)
     known = {(r.field, r.k): r.weight for r in index.dictionary(terms=terms).select("field", term_key().alias("k"), "weight").collect()} if terms else {}
     found = [(w, list(r.op_order), r.field, r.key) for r in tokens if (w := known.get((r.field, r.key))) is not None and w > 0]  # NaN isn't, either
     ops = [Operand(bit, f, t, w) for bit, (w, _, f, t) in enumerate(sorted(found, key=lambda x: x[:2]))]

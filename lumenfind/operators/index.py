@@ -212,9 +212,10 @@ class DocumentIndex:
             return self
         if self.base_path:
             size = bytes_of(reduce(DataFrame.unionByName, (a.plain for a in self._buffer)))
-            docs = documents_of(self._buffer).persist()
+            docs, again = documents_of(self._buffer).persist(), None
             try:
-                again = self._read("docs", DOCS).join(docs, ["field", "doc_id"], "left_semi").persist() if self._segments else None
+                if self._segments:
+                    again = self._read("docs", DOCS).join(docs, ["field", "doc_id"], "left_semi").persist()
                 segment = self._write(distinct(self._buffer, self._read("postings", POSTINGS), again), docs if again is None else docs.join(again, ["field", "doc_id"], "left_anti"), self.buckets or buckets_for(size), size is not None and size > SPLIT_BYTES)
             finally:
                 docs.unpersist()
